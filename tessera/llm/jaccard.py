@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
 from .components import connected_components
-from .store import Scratch, plan_bytes
+from .store import Scratch, plan_bytes, tidy
 
 U = np.uint64
 #: n-grams a task holds before it sends them on
@@ -99,7 +99,7 @@ def _mapper(n: int, lower: bool, bits: int):
             keys.append(int(r))
             idss.append(ids[used].tobytes())
             sizes.append(size[used].tobytes())
-            bodies.append(low[a:b].tobytes() + local.astype(np.uint32).tobytes())
+            bodies.append(low[a:b].tobytes() + local.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes())
         for a in range(0, len(keys), 512):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[a : a + 512], pa.int32())] + [pa.array(x[a : a + 512], pa.binary()) for x in (idss, sizes, bodies)],
@@ -144,9 +144,10 @@ def _reducer(bits: int, buckets: int):
             return pa.table({"doc_id": ids, "n": sizes, "rep": reps, "key": pa.nulls(k, pa.int32()), "body": pa.nulls(k, pa.binary())})
         toks, docs, base = [], [], 0
         for i, b in zip(cols["ids"], cols["body"]):
-            m = len(b) // 8
+            short = len(i) <= 8 << 16
+            m = len(b) // (6 if short else 8)
             toks.append(np.frombuffer(b, np.uint32, m))
-            docs.append(np.frombuffer(b, np.uint32, m, 4 * m).astype(np.int64) + base)
+            docs.append(np.frombuffer(b, np.uint16 if short else np.uint32, m, 4 * m).astype(np.int64) + base)
             base += len(i) // 8
         tok, doc = np.concatenate(toks), np.concatenate(docs)
         order = np.argsort(tok, kind="stable")
@@ -161,10 +162,10 @@ def _reducer(bits: int, buckets: int):
         value = (np.minimum(df, 0xFFFF).astype(U) << U(48)) | (U(r) << U(32)) | tok.astype(U)
         d = ids[doc]
         bucket = (W.mix(d.astype(U)) % U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((d, bucket))
         d, value, bucket, n = d[order], value[order], bucket[order], sizes[doc][order]
         start, length = W.runs(bucket)
-        body = [d[a : a + m].tobytes() + n[a : a + m].tobytes() + value[a : a + m].tobytes() for a, m in zip(start, length)]
+        body = [_pack(d[a : a + m], n[a : a + m], value[a : a + m]) for a, m in zip(start, length)]
         k = len(start)
         null = pa.nulls(k, pa.int64())
         return pa.table({"doc_id": null, "n": null, "rep": null, "key": pa.array(bucket[start], pa.int32()), "body": pa.array(body, pa.binary())})
@@ -172,17 +173,25 @@ def _reducer(bits: int, buckets: int):
     return run
 
 
+def _pack(d: np.ndarray, n: np.ndarray, value: np.ndarray) -> bytes:
+    """Rows sorted by document: count, then id, size and length of each run,
+    then all values."""
+    start, length = W.runs(d)
+    return b"".join([np.array([len(start)]).tobytes(), d[start].tobytes(), n[start].tobytes(), length.tobytes(), value.tobytes()])
+
+
+def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k = int(np.frombuffer(b, np.int64, 1)[0])
+    d, n, length = np.frombuffer(b, np.int64, 3 * k, 8).reshape(3, k)
+    return np.repeat(d, length), np.repeat(n, length), np.frombuffer(b, np.uint64, -1, 8 + 24 * k)
+
+
 def _gather(num: int, den: int):
     """Shared n-grams of a bucket's documents; keeps documents that can have a
     partner, with the prefix n-grams to find it by."""
 
     def run(table):
-        parts = [[], [], []]
-        for b in table.column("body").to_pylist():
-            m = len(b) // 24
-            for k in range(3):
-                parts[k].append(np.frombuffer(b, (np.int64, np.int64, np.uint64)[k], m, 8 * m * k))
-        d, n, v = (np.concatenate(x) for x in parts)
+        d, n, v = (np.concatenate(x) for x in zip(*map(_unpack, table.column("body").to_pylist())))
         order = np.lexsort((v, d))
         d, n, v = d[order], n[order], v[order]
         new = np.ones(len(d), bool)
@@ -421,10 +430,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     packed = slim.where("doc_id is not null").mapInArrow(_mapper(n, lower, bits), _MAP)
     buckets = 1 << max(8, bits - 2)
     flat = scratch.put(packed.groupBy("key").applyInArrow(_reducer(bits, buckets), _FLAT), "shared")
+    del packed
+    tidy(spark)  # the largest shuffle of all; what follows is small
     base = flat.where("key is null").select("doc_id", "n", "rep")
     live = scratch.put(
         flat.where("key is not null").groupBy("key").applyInArrow(_gather(num, den), "doc_id bigint, n bigint, prefix array<bigint>, grams binary"), "live"
     )
+    tidy(spark)
     post = live.select("doc_id", F.explode("prefix").alias("gram"))
     heads = post.groupBy("gram").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head != tail").select("gram", "head")
     edges = post.join(heads, "gram").where("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
