@@ -3,7 +3,7 @@
 1. Every text becomes its set of word n-gram hashes.  Sets travel once, packed
    by hash range; a range's reducer sees all occurrences of its n-grams, so it
    knows their exact document frequency and sends back only n-grams that two
-   documents share (copies inside one task are folded before that).
+   different sets share.  Documents with equal sets are one set throughout.
 2. Globally ordered sets: n-grams by (document frequency, hash).  N-grams that
    one document alone has come first and can match nothing, so a document with
    enough of them has no partner and is done.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
 from .components import connected_components
-from .store import Scratch, plan_bytes, tidy
+from .store import Scratch, plan_bytes
 
 U = np.uint64
 #: n-grams a task holds before it sends them on
@@ -37,7 +37,7 @@ BLOCK = 1024
 QUERIES = 128
 
 _MAP = "key int, ids binary, sizes binary, body binary"
-_FLAT = "doc_id bigint, n bigint, rep bigint, key int, body binary"
+_FLAT = "doc_id bigint, n bigint, name bigint, key int, body binary"
 
 
 def _ranges(docs: DataFrame) -> int:
@@ -72,22 +72,18 @@ def _mapper(n: int, lower: bool, bits: int):
             h, d = h[new], d[new]
         size = np.bincount(d, minlength=len(ids)).astype(np.int64)
         s1, s2 = _set_sums(h, d, len(ids))
-        # fold copies inside this task: the smallest id stands for them
-        by = np.lexsort((ids, s2, s1, size))
-        first = np.ones(len(ids), bool)
-        first[1:] = (size[by][1:] != size[by][:-1]) | (s1[by][1:] != s1[by][:-1]) | (s2[by][1:] != s2[by][:-1])
-        first |= size[by] == 0
-        rep = np.empty(len(ids), np.int64)
-        rep[by] = ids[by][np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))]
+        # documents with equal sets are one set from here on, named by its sum
+        name = np.where(size > 0, W.mix(s1 ^ W.mix(s2 + size.astype(U))), U(0)).view(np.int64)
         lead = np.zeros(len(ids), bool)
-        lead[by] = first
+        lead[np.unique(name, return_index=True)[1]] = True
+        lead &= size > 0
         keys, idss, sizes, bodies = [], [], [], []
         step = 4096
         for a in range(0, len(ids), step):
-            keys.append(span + int(ids[a] % 1024 if ids[a] >= 0 else 0))
+            keys.append(span + int(ids[a] % 1024))
             idss.append(ids[a : a + step].tobytes())
             sizes.append(size[a : a + step].tobytes())
-            bodies.append(rep[a : a + step].tobytes())
+            bodies.append(name[a : a + step].tobytes())
         ok = lead[d]
         h, d = h[ok], d[ok]
         slot = (h >> U(64 - bits)).astype(np.int64)
@@ -97,7 +93,7 @@ def _mapper(n: int, lower: bool, bits: int):
             a, b = at[r], at[r + 1]
             used, local = np.unique(d[a:b], return_inverse=True)
             keys.append(int(r))
-            idss.append(ids[used].tobytes())
+            idss.append(name[used].tobytes())
             sizes.append(size[used].tobytes())
             bodies.append(low[a:b].tobytes() + local.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes())
         for a in range(0, len(keys), 512):
@@ -131,7 +127,7 @@ def _reducer(bits: int, buckets: int):
     span = 1 << bits
 
     def empty():
-        return pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "key": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
+        return pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "name": pa.array([], pa.int64()), "key": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
 
     def run(key, table):
         r = key[0].as_py()
@@ -141,7 +137,7 @@ def _reducer(bits: int, buckets: int):
         if r >= span:
             reps = np.concatenate([np.frombuffer(x, np.int64) for x in cols["body"]])
             k = len(ids)
-            return pa.table({"doc_id": ids, "n": sizes, "rep": reps, "key": pa.nulls(k, pa.int32()), "body": pa.nulls(k, pa.binary())})
+            return pa.table({"doc_id": ids, "n": sizes, "name": reps, "key": pa.nulls(k, pa.int32()), "body": pa.nulls(k, pa.binary())})
         toks, docs, base = [], [], 0
         for i, b in zip(cols["ids"], cols["body"]):
             short = len(i) <= 8 << 16
@@ -150,8 +146,11 @@ def _reducer(bits: int, buckets: int):
             docs.append(np.frombuffer(b, np.uint16 if short else np.uint32, m, 4 * m).astype(np.int64) + base)
             base += len(i) // 8
         tok, doc = np.concatenate(toks), np.concatenate(docs)
-        order = np.argsort(tok, kind="stable")
+        order = np.lexsort((ids[doc], tok))
         tok, doc = tok[order], doc[order]
+        new = np.ones(len(tok), bool)
+        new[1:] = (tok[1:] != tok[:-1]) | (ids[doc[1:]] != ids[doc[:-1]])
+        tok, doc = tok[new], doc[new]  # the same set from several tasks
         start, length = W.runs(tok)
         df = np.repeat(length, length)
         shared = df > 1
@@ -168,22 +167,18 @@ def _reducer(bits: int, buckets: int):
         body = [_pack(d[a : a + m], n[a : a + m], value[a : a + m]) for a, m in zip(start, length)]
         k = len(start)
         null = pa.nulls(k, pa.int64())
-        return pa.table({"doc_id": null, "n": null, "rep": null, "key": pa.array(bucket[start], pa.int32()), "body": pa.array(body, pa.binary())})
+        return pa.table({"doc_id": null, "n": null, "name": null, "key": pa.array(bucket[start], pa.int32()), "body": pa.array(body, pa.binary())})
 
     return run
 
 
 def _pack(d: np.ndarray, n: np.ndarray, value: np.ndarray) -> bytes:
-    """Rows sorted by document: count, then id, size and length of each run,
-    then all values."""
-    start, length = W.runs(d)
-    return b"".join([np.array([len(start)]).tobytes(), d[start].tobytes(), n[start].tobytes(), length.tobytes(), value.tobytes()])
+    return d.tobytes() + value.tobytes() + n.astype(np.uint32).tobytes()
 
 
 def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k = int(np.frombuffer(b, np.int64, 1)[0])
-    d, n, length = np.frombuffer(b, np.int64, 3 * k, 8).reshape(3, k)
-    return np.repeat(d, length), np.repeat(n, length), np.frombuffer(b, np.uint64, -1, 8 + 24 * k)
+    k = len(b) // 20
+    return np.frombuffer(b, np.int64, k), np.frombuffer(b, np.uint32, k, 16 * k).astype(np.int64), np.frombuffer(b, np.uint64, k, 8 * k)
 
 
 def _gather(num: int, den: int):
@@ -430,13 +425,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     packed = slim.where("doc_id is not null").mapInArrow(_mapper(n, lower, bits), _MAP)
     buckets = 1 << max(8, bits - 2)
     flat = scratch.put(packed.groupBy("key").applyInArrow(_reducer(bits, buckets), _FLAT), "shared")
-    del packed
-    tidy(spark)  # the largest shuffle of all; what follows is small
-    base = flat.where("key is null").select("doc_id", "n", "rep")
+    base = flat.where("key is null").select("doc_id", "n", "name")
     live = scratch.put(
         flat.where("key is not null").groupBy("key").applyInArrow(_gather(num, den), "doc_id bigint, n bigint, prefix array<bigint>, grams binary"), "live"
     )
-    tidy(spark)
     post = live.select("doc_id", F.explode("prefix").alias("gram"))
     heads = post.groupBy("gram").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head != tail").select("gram", "head")
     edges = post.join(heads, "gram").where("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
@@ -452,7 +444,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     own = member.withColumn("i", F.col("block")).withColumn("j", F.col("block"))
     links = scratch.put(own.groupBy("family", "i", "j").applyInArrow(_blocks(num, den), "a bigint, b bigint"), "links-own")
     big = member.where("nb > 1")
-    local = connected_components(links.union(base.where("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), scratch, "local")
+    local = connected_components(links, scratch, "local")
     crossed = (
         big.drop("known").join(local.select(F.col("id").alias("doc_id"), F.col("component").alias("known")), "doc_id", "left")
         .withColumn("known", F.coalesce("known", "doc_id"))
@@ -462,9 +454,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     )
     more = scratch.put(crossed.groupBy("family", "i", "j").applyInArrow(_blocks(num, den), "a bigint, b bigint"), "links-cross")
     final = connected_components(more.union(local.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch, "final")
-    found = base.join(final.select(F.col("id").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id")
-    )
+    whole = base.join(final.select(F.col("id").alias("name"), F.col("component").alias("c")), "name", "left").withColumn("c", F.coalesce("c", "name"))
+    whole = scratch.put(whole.select("doc_id", "n", "c"), "classes")
+    least = whole.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
+    found = whole.join(least, (whole.c == least.c) & (whole.n > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     lone = nameless.mapInArrow(_sizes(n, lower), "n_shingles bigint").select(F.lit(None).cast("bigint").alias("doc_id"), "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
     return found.unionByName(lone)
 

@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}
 
 
@@ -36,7 +37,12 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return a reader of the written table."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")  # the table replaces its shuffles
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -48,14 +54,6 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark's context cleaner remove the shuffle files of finished jobs."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; runs no job."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
