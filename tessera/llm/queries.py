@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .jaccard import ngram_jaccard_join
 from .mixing import mix_sources
 from .quality_rules import quality_rules
+from .suffix_dedup import suffix_dedup
 from .url_filter import RULES, url_filter
+from .word_dedup import word_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +22,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=(90, 100))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules=RULES)
 
 
+def op5_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_dedup(table(spark, sf_dir, "documents"), window=50)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
 
@@ -33,7 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_url_filter, op9_mix_sources, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_suffix_dedup, op4_url_filter, op5_word_dedup, op9_mix_sources, op10_quality_rules)}
 
 
 _WORDS = r"""list_transform(list_filter(regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), x -> x <> ''), x -> x)"""
