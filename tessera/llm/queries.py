@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import decontaminate
 from .jaccard import ngram_jaccard_join
 from .mixing import mix_sources
+from .pii import pii_surrogates
+from .quality_model import quality_model
 from .quality_rules import quality_rules
 from .suffix_dedup import suffix_dedup
 from .url_filter import RULES, url_filter
@@ -34,6 +37,18 @@ def op5_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_dedup(table(spark, sf_dir, "documents"), window=50)
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.7)
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
 
@@ -43,7 +58,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_suffix_dedup, op4_url_filter, op5_word_dedup, op9_mix_sources, op10_quality_rules)}
+    listed = (
+        op1_ngram_jaccard_join, op3_suffix_dedup, op4_url_filter, op5_word_dedup, op6_quality_model,
+        op7_decontaminate, op8_pii_surrogates, op9_mix_sources, op10_quality_rules,
+    )
+    return {f.__name__: f for f in listed}
 
 
 _WORDS = r"""list_transform(list_filter(regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), x -> x <> ''), x -> x)"""
