@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
 from .jaccard import ngram_jaccard_join
+from .main_text import main_text
 from .mixing import mix_sources
 from .pii import pii_surrogates
 from .quality_model import quality_model
@@ -25,6 +26,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=(90, 100))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), length=400)
 
@@ -59,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
-        op1_ngram_jaccard_join, op3_suffix_dedup, op4_url_filter, op5_word_dedup, op6_quality_model,
+        op1_ngram_jaccard_join, op2_main_text, op3_suffix_dedup, op4_url_filter, op5_word_dedup, op6_quality_model,
         op7_decontaminate, op8_pii_surrogates, op9_mix_sources, op10_quality_rules,
     )
     return {f.__name__: f for f in listed}
