@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import words as W
 
@@ -198,3 +198,26 @@ def quality_model(docs: DataFrame, labels: DataFrame, cut: float = 0.7, max_trai
         "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= cut).cast("int").alias("predicted"),
     )
+
+
+def _keep(model: GatedAttention):
+    def run(batches):
+        for part, data, offs in W.slices(batches):
+            x, poffs = passages(data, offs)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(model.score(x, poffs), pa.float64())], names=["row", "text", "score"])
+
+    return run
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, cut: float = 0.7, max_train: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", model: GatedAttention | None = None) -> DataFrame:
+    """Rows of ``docs`` whose text scores ``cut`` or more, all columns kept.
+
+    Scores as ``quality_model`` does, without a shuffle: the row travels beside
+    its score, so null and repeated ids need no care.
+    """
+    model = model or train(docs, labels, max_train, id_col, text_col, label_col)
+    rest = [c for c in docs.columns if c != text_col]
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).alias("text"))
+    schema = T.StructType([source.schema["row"], T.StructField("text", T.StringType()), T.StructField("score", T.DoubleType())])
+    kept = source.mapInArrow(_keep(model), schema).where(F.col("score") >= cut)
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
