@@ -93,9 +93,11 @@ def _mark(length: int, bits: int):
             if again.any():  # equal neighbourhoods here: settled, one is sent
                 q = np.flatnonzero(again)
                 lo, hi = p[q].astype(np.int64) - l[q], p[q].astype(np.int64) + r[q]
-                for k in np.unique(d[q]):
-                    m = d[q] == k
-                    rows.append((-1 - int(ids[k] % 1024), ids[k : k + 1].tobytes(), np.stack([lo[m], hi[m]]).tobytes()))
+                o = np.argsort(d[q], kind="stable")
+                lo, hi, who = lo[o], hi[o], d[q][o]
+                for a, m in zip(*W.runs(who)):
+                    k = who[a]
+                    rows.append((-1 - int(ids[k] % 1024), ids[k : k + 1].tobytes(), np.stack([lo[a : a + m], hi[a : a + m]]).tobytes()))
             h, c, d, p, l, r = (x[start] for x in (h, c, d, p, l, r))
             rows += B.by_range(h, d, ids, bits, c, p, l, r)
         yield from B.emit(rows)
@@ -172,8 +174,9 @@ def _meet(bits: int):
         if settled.any():
             lo, hi = p[settled].astype(np.int64) - l[settled], p[settled].astype(np.int64) + rr[settled]
             o = np.argsort(ids[settled], kind="stable")
-            start, length = W.runs(ids[settled][o])
-            out.append(_found(ids[settled][o][start], spans=[np.stack([lo[o][a : a + m], hi[o][a : a + m]]).tobytes() for a, m in zip(start, length)]))
+            d, lo, hi = ids[settled][o], lo[o], hi[o]
+            start, length = W.runs(d)
+            out.append(_found(d[start], spans=[np.stack([lo[a : a + m], hi[a : a + m]]).tobytes() for a, m in zip(start, length)]))
         if look.any():
             o = np.argsort(ids[look], kind="stable")
             d, v = ids[look][o], p[look][o].astype(np.int64)

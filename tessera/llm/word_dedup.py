@@ -74,9 +74,8 @@ def _probe(block: int, bits: int):
             start, length = W.runs(h)
             hot = np.repeat(length > HOT, length)
             if hot.any():
-                hits = h[hot], doc[hot]
-                for r in np.unique(hits[1]):
-                    rows.append((-1 - int(ids[r] % 1024), ids[r : r + 1].tobytes(), B.short(hits[0][hits[1] == r], bits).tobytes()))
+                mine, (hits,) = _per_doc(ids[doc[hot]], B.short(h[hot], bits))
+                rows += [(-1 - int(i % 1024), i.tobytes(), x) for i, x in zip(mine, hits)]
                 any_block = np.repeat(np.logical_or.reduceat(isblock, start), length)
                 stay = ~hot
                 stay[start] = True
