@@ -186,16 +186,16 @@ def _entities(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.string())], names=["kind", "entity"])
 
 
-def _draw(key: bytes):
+def _draw(key: bytes, make):
     def run(batches):
         for b in batches:
             rows = list(zip(*(b.column(i).to_pylist() for i in range(3))))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array([surrogate(key, *r) for r in rows], pa.string())], names=["kind", "entity", "draw", "new"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array([make(key, *r) for r in rows], pa.string())], names=["kind", "entity", "draw", "new"])
 
     return run
 
 
-def _replace(key: bytes, exceptions: bool):
+def _replace(key: bytes, exceptions: bool, make):
     def run(batches):
         for part, data, offs in W.slices(batches):
             raw, texts, counts = data.tobytes(), part.column(1).to_pylist(), np.zeros((part.num_rows, len(KINDS)), np.int32)
@@ -205,7 +205,7 @@ def _replace(key: bytes, exceptions: bool):
                 own = {(x["kind"], x["entity"]): x["new"] for x in known[k] or ()}
                 for kind, a, b in find(text):
                     entity = normal(kind, text[a:b])
-                    new = own.get((kind, entity)) or surrogate(key, kind, entity)
+                    new = own.get((kind, entity)) or make(key, kind, entity)
                     out += [text[end:a], shaped(kind, text[a:b], new)]
                     end = b
                     counts[k, KINDS.index(kind)] += 1
@@ -229,7 +229,7 @@ def _occurs(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.string())], names=["id", "kind", "entity"])
 
 
-def pii_surrogates(docs: DataFrame, key: bytes = b"tessera surrogates", max_draws: int = 20, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def pii_surrogates(docs: DataFrame, key: bytes = b"tessera surrogates", max_draws: int = 20, make=surrogate, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with its text replaced, plus n_entities and a count per type.
 
     All columns and rows stay, in their types; null and empty texts stay as
@@ -243,7 +243,7 @@ def pii_surrogates(docs: DataFrame, key: bytes = b"tessera surrogates", max_draw
     docs = docs.drop(*added)
     slim = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).alias("text"))
     every = scratch.put(slim.mapInArrow(_entities, "kind string, entity string").distinct(), "entities")
-    drawn = scratch.put(every.withColumn("draw", F.lit(0)).mapInArrow(_draw(key), "kind string, entity string, draw int, new string"), "draw-0")
+    drawn = scratch.put(every.withColumn("draw", F.lit(0)).mapInArrow(_draw(key, make), "kind string, entity string, draw int, new string"), "draw-0")
     for k in range(1, max_draws + 1):
         real = every.select("kind", F.col("entity").alias("new"), F.lit(True).alias("real"))
         first = drawn.groupBy("kind", "new").agg(F.min(F.struct("draw", "entity")).alias("first"))
@@ -252,7 +252,7 @@ def pii_surrogates(docs: DataFrame, key: bytes = b"tessera surrogates", max_draw
         bad = scratch.put(judged.where(clash).select("kind", "entity", (F.col("draw") + 1).alias("draw")), f"clash-{k}")
         if bad.isEmpty():
             break
-        again = bad.mapInArrow(_draw(key), "kind string, entity string, draw int, new string")
+        again = bad.mapInArrow(_draw(key, make), "kind string, entity string, draw int, new string")
         drawn = scratch.put(drawn.join(bad.select("kind", "entity"), ["kind", "entity"], "left_anti").unionByName(again), f"draw-{k}")
     else:
         raise RuntimeError(f"surrogates still collide after {max_draws} draws")
@@ -265,5 +265,5 @@ def pii_surrogates(docs: DataFrame, key: bytes = b"tessera surrogates", max_draw
         own = where.groupBy("id").agg(F.collect_set(F.struct("kind", "entity", "new")).alias("known")).select(F.col("id").alias("_id"), "known")
         source = source.withColumn("_key", F.col(f"row.{id_col}").cast("bigint")).join(own, F.col("_key").eqNullSafe(F.col("_id")), "left").select("row", "text", "known")
     schema = T.StructType([source.schema["row"], T.StructField("text", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in added)])
-    out = source.mapInArrow(_replace(key, exceptions), schema)
+    out = source.mapInArrow(_replace(key, exceptions, make), schema)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns], *added)
