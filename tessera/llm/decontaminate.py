@@ -81,9 +81,9 @@ def _encode(items: Items):
     return run
 
 
-def _passages(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _passages(blobs: list[bytes], weigh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(terms, passage of each, document of each passage, start of each) with
-    words of no item left out."""
+    words of no item, and of no weight, left out."""
     seqs = [np.frombuffer(b, np.uint16) for b in blobs]
     n = np.array([len(x) for x in seqs])
     k = np.where(n > 0, np.maximum(1, -(-(n - PASSAGE) // STRIDE) + 1), 0)
@@ -91,7 +91,7 @@ def _passages(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     flat = np.concatenate(seqs) if seqs else np.zeros(0, np.uint16)
     doc = np.repeat(np.arange(len(seqs)), n)
     at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-    some = flat > 0
+    some = flat > 0 if weigh is None else np.append(False, weigh > 0)[flat]
     flat, doc, at = flat[some].astype(np.int64), doc[some], at[some]
     # passage j covers words j * STRIDE up to + PASSAGE: two a word, at the ends one
     j = at // STRIDE
@@ -118,22 +118,36 @@ def _parts(batch: pa.RecordBatch, words: int = 1 << 19):
 
 def _tf(terms: np.ndarray, rows: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, 1 + log count) with each pair once, by row."""
-    pair, count = np.unique(rows * np.int64(n_terms) + terms - 1, return_counts=True)
+    pair = np.sort(rows * np.int64(n_terms) + terms - 1)
+    start, count = W.runs(pair)
+    pair = pair[start]
     return pair // n_terms, pair % n_terms, (1 + np.log(count)).astype(np.float32)
 
 
 def _rows_times(row: np.ndarray, term: np.ndarray, val: np.ndarray, n_rows: int, m: np.ndarray) -> np.ndarray:
-    """Sparse rows times a dense matrix, a bounded part at a time."""
+    """Sparse rows, each of few entries, times a dense matrix: the first
+    entries of all rows, then the second ones, and so on."""
     out = np.zeros((n_rows, m.shape[1]), np.float32)
-    step = max(1, (1 << 22) // m.shape[1])
-    a = 0
-    while a < len(row):
-        b = min(len(row), a + step)
-        b = int(np.searchsorted(row, row[b - 1], "right"))
-        part = m[term[a:b]] * val[a:b, None]
-        starts, _ = W.runs(row[a:b])
-        out[row[a:b][starts]] = np.add.reduceat(part, starts, axis=0)
-        a = b
+    start, length = W.runs(row)
+    order = np.argsort(-length, kind="stable")
+    start, length, rows = start[order], length[order], row[start[order]]
+    for j in range(int(length[0]) if len(length) else 0):
+        n = int(np.searchsorted(-length, -j))  # rows with an entry j
+        at = start[:n] + j
+        out[rows[:n]] += m[term[at]] * val[at, None]
+    return out
+
+
+def _columns_times(row: np.ndarray, term: np.ndarray, val: np.ndarray, n_terms: int, y: np.ndarray) -> np.ndarray:
+    """The transpose of sparse rows times a dense matrix, in bounded parts."""
+    out = np.zeros((n_terms, y.shape[1]), np.float32)
+    order = np.argsort(term, kind="stable")
+    row, term, val = row[order], term[order], val[order]
+    step = (1 << 22) // y.shape[1]
+    for a in range(0, len(row), step):
+        z = slice(a, a + step)
+        start, _ = W.runs(term[z])
+        out[term[z][start]] += np.add.reduceat(y[row[z]] * val[z, None], start, axis=0)
     return out
 
 
@@ -142,8 +156,7 @@ def _frequencies(n_terms: int):
         df, n = np.zeros(n_terms, np.int64), 0
         for _, blobs in (x for b in batches for x in _parts(b)):
             terms, rows, owner, _ = _passages(blobs)
-            pair = np.unique(rows * np.int64(n_terms) + terms - 1)
-            df += np.bincount(pair % n_terms, minlength=n_terms)
+            df += np.bincount(_tf(terms, rows, n_terms)[1], minlength=n_terms)
             n += len(owner)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_terms + 1)), pa.array(np.append(df, n))], names=["term", "n"])
 
@@ -162,13 +175,12 @@ def _gram(n_terms: int, idf: np.ndarray, omega: np.ndarray):
     def run(batches):
         out = np.zeros((n_terms, omega.shape[1]), np.float32)
         for _, blobs in (x for b in batches for x in _parts(b)):
-            terms, rows, owner, _ = _passages(blobs)
+            terms, rows, owner, _ = _passages(blobs, idf)
             row, term, val = _tf(terms, rows, n_terms)
             v, norm = _weigh(row, term, val, idf, len(owner))
             v = v / np.maximum(norm[row], 1e-6)
             y = _rows_times(row, term, v, len(owner), omega)
-            order = np.argsort(term, kind="stable")
-            out += _rows_times(term[order], row[order], v[order], n_terms, y)
+            out += _columns_times(row, term, v, n_terms, y)
         blocks = range(0, n_terms, 64)
         yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([out[a : a + 64].tobytes() for a in blocks], pa.binary())], names=["block", "part"])
 
@@ -217,20 +229,31 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float, cov
             r, c, v = _tf(t, np.zeros(len(t), np.int64), n_terms)
             w, norm = _weigh(r, c, v, idf, 1)
             q[i] = (w / max(norm[0], 1e-6)) @ basis[c]
+    lists = [t.tolist() for t in items.terms]
+    longest = max(map(len, lists), default=0)
+    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-6)
 
     def run(batches):
         for ids, blobs in (x for b in batches for x in _parts(b)):
             best: dict[tuple[int, int], tuple[float, float]] = {}
-            terms, rows, owner, begin = _passages(blobs)
+            terms, rows, owner, begin = _passages(blobs, idf)
             row, term, val = _tf(terms, rows, n_terms)
             v, norm = _weigh(row, term, val, idf, len(owner))
-            z = _rows_times(row, term, v / np.maximum(norm[row], 1e-6), len(owner), basis)
-            for a in range(0, len(owner), 4096):
-                p, i = np.nonzero(z[a : a + 4096] @ q.T >= cosine)
-                for p1, i1 in zip((p + a).tolist(), i.tolist()):
+            z = _rows_times(row, term, v, len(owner), basis)
+            some = np.flatnonzero(norm > 0)
+            z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-6)
+            for a in range(0, len(some), 4096):
+                p, i = np.nonzero(z[some[a : a + 4096]] @ q.T >= cosine)
+                last, near = -1, frozenset()
+                for p1, i1 in zip(some[p + a].tolist(), i.tolist()):
                     d = int(owner[p1])
                     if (d, i1) in best and best[d, i1][0] >= 1:
                         continue
+                    if p1 != last:  # no subsequence is longer than the shared terms
+                        last, at = p1, int(begin[p1])
+                        near = frozenset(np.frombuffer(blobs[d], np.uint16)[max(0, at - longest) : at + PASSAGE + longest].tolist())
+                    if sum(t in near for t in lists[i1]) < coverage * len(lists[i1]):
+                        continue
                     share = _judge(items.terms[i1], np.frombuffer(blobs[d], np.uint16), int(begin[p1]), coverage)
                     if share:
                         best[d, i1] = max(best.get((d, i1), (0.0, 0.0)), (share, float(z[p1] @ q[i1])))
@@ -243,13 +266,25 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float, cov
     return run
 
 
+def _telling(items: Items, df: np.ndarray, passages: int) -> np.ndarray:
+    """Which terms have weight in the search: those in at most one passage in
+    fifty (of a thousand at least), and each item's rarer half in any case, so
+    that an item that leaked everywhere is still found.  The check of candidates
+    uses all terms."""
+    keep = df <= max(1000, passages // 50)
+    for t in items.terms:
+        own = np.unique(t) - 1
+        keep[own[np.argsort(df[own], kind="stable")[: -(-len(own) // 2)]]] = True
+    return keep
+
+
 def load_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Items:
     rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).limit(MAX_ITEMS + 1).collect()
     rows = sorted({(r.i, r.t) for r in rows if r.t.split()})
     return Items([r[0] for r in rows], [r[1] for r in rows])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, cosine: float = 0.3, coverage: float = 0.6, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float = 0.5, coverage: float = 0.6, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, item_id, coverage, cosine) of each item found in a document."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "leaks")
@@ -262,6 +297,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, cosine: float
     seqs = scratch.put(slim.mapInArrow(_encode(items), "doc_id bigint, terms binary"), "terms")
     counts = {r.term: r.n for r in seqs.mapInArrow(_frequencies(n), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.array([np.log((1 + counts.get(n, 0)) / (1 + counts.get(t, 0))) + 0.05 for t in range(n)], np.float32)
+    idf[~_telling(items, np.array([counts.get(t, 0) for t in range(n)]), counts.get(n, 0))] = 0
     # the items as rows of their own, so that the space holds what they say
     own = np.zeros((len(items.ids), n), np.float32)
     for i, t in enumerate(items.terms):
@@ -269,7 +305,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, cosine: float
             r, c, v = _tf(t, np.zeros(len(t), np.int64), n)
             w, norm = _weigh(r, c, v, idf, 1)
             own[i, c] = w / max(norm[0], 1e-6)
-    k = min(n, len(items.ids) + 16, rank)
+    k = min(n, rank)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, k)))[0].astype(np.float32)
     passages = max(1, counts.get(n, 0))
     for step in range(2):
