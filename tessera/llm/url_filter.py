@@ -62,6 +62,30 @@ LABELLED = (
     (1, "http://click-ads-banner.example.net/redirect?aff=44"),
     (1, "http://weight-loss-miracle.example.com/pills/buy-cheap"),
     (1, "http://porn-sex-cams.example.net/adult/xxx"),
+    (0, "https://thorn.example.net/en/812"),
+    (0, "https://www.linden.example.com/de/37.html"),
+    (0, "https://m.station.example.org/es/640/"),
+    (0, "https://blog.another.example.net/fr/95?utm_source=feed"),
+    (0, "https://www.weather.example.net/es/1204"),
+    (0, "https://m.reader.example.com/en/2001.html"),
+    (0, "https://blog.thinking.example.com/en/77/"),
+    (0, "https://www.nation.example.org/de/518"),
+    (0, "https://others.example.com/es/33?page=4"),
+    (0, "https://m.anthem.example.net/de/290.html"),
+    (0, "https://www.enter.example.net/fr/1650"),
+    (0, "https://blog.shine.example.org/en/904"),
+    (1, "https://www.casino-night.example.com/en/211"),
+    (1, "https://sports-bets.example.net/de/87"),
+    (1, "https://m.free-spins.example.com/es/40"),
+    (1, "https://pills-online.example.net/fr/1021"),
+    (1, "https://www.cheap-meds.example.org/en/16.html"),
+    (1, "https://link-farm.example.com/en/733/"),
+    (1, "https://blog.spam-links.example.net/de/64"),
+    (1, "https://ads-network.example.com/en/58"),
+    (1, "https://m.click-track.example.net/es/910"),
+    (1, "https://adult-videos.example.com/fr/345"),
+    (1, "https://www.win-prizes.example.net/en/72.html"),
+    (1, "https://free-coins.example.org/de/1200"),
 )
 
 
@@ -103,8 +127,8 @@ def _listed(spark: SparkSession, pairs) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(y).alias("label"), F.lit(u).alias("url")) for y, u in pairs])))
 
 
-def train(spark: SparkSession, labelled, n: int = 4, buckets: int = 4096, steps: int = 12, rate: float = 4.0, decay: float = 1e-3) -> tuple[list[float], float]:
-    """Weights of a logistic regression by full-batch gradient steps.
+def train(spark: SparkSession, labelled, n: int = 3, buckets: int = 4096, steps: int = 30, rate: float = 8.0, decay: float = 1e-3, momentum: float = 0.9) -> tuple[list[float], float]:
+    """Weights of a logistic regression by full-batch gradient steps with momentum.
 
     ``labelled`` is a DataFrame (label, url) or a small sequence of such pairs.
     Weights and bias are the only things that reach the driver: ``buckets`` + 1
@@ -114,6 +138,7 @@ def train(spark: SparkSession, labelled, n: int = 4, buckets: int = 4096, steps:
     x = table.select(F.col("label").cast("double").alias("y"), grams(host_of(F.col("url")), path_of(F.col("url")), n, buckets).alias("g")).where("y is not null")
     x = x.withColumn("scale", 1 / F.sqrt(F.size("g")))
     weights, bias = [0.0] * buckets, 0.0
+    speed, pace = [0.0] * buckets, 0.0
     for _ in range(steps):
         w = F.lit(weights) if any(weights) else F.array_repeat(F.lit(0.0), buckets)
         z = F.aggregate("g", F.lit(0.0), lambda a, i: a + F.element_at(w, i + 1)) * F.col("scale") + F.lit(bias)
@@ -122,9 +147,11 @@ def train(spark: SparkSession, labelled, n: int = 4, buckets: int = 4096, steps:
         total = sum(r.c for r in grad if r.b < 0) or 1
         for r in grad:
             if r.b < 0:
-                bias -= rate * 0.1 * r.s / total
+                pace = momentum * pace - rate * 0.1 * r.s / total
+                bias += pace
             else:
-                weights[r.b] -= rate * (r.s / total + decay * weights[r.b])
+                speed[r.b] = momentum * speed[r.b] - rate * (r.s / total + decay * weights[r.b])
+                weights[r.b] += speed[r.b]
     return weights, bias
 
 
@@ -132,9 +159,9 @@ def url_filter(
     pages: DataFrame,
     labelled=LABELLED,
     rules: tuple[tuple[str, str], ...] = RULES,
-    n: int = 4,
+    n: int = 3,
     buckets: int = 4096,
-    cut: float = 0.5,
+    cut: float = 0.6,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
