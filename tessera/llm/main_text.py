@@ -314,6 +314,13 @@ def _phrase(r, low: int, high: int, stop: bool) -> str:
     words = []
     for _ in range(int(r.integers(low, high + 1))):
         words.append(_SAMPLE[int(r.integers(len(_SAMPLE)))] if r.random() < 0.3 else "".join(pool[int(k)] for k in r.integers(0, len(pool), int(r.integers(1, 5)))))
+    odd = r.random()  # some texts are lists, shouts or full of signs
+    if odd < 0.04:
+        words = [w + " |" for w in words]
+    elif odd < 0.06:
+        words = [w.upper() + "!!" for w in words]
+    elif odd < 0.08:
+        words = [w + "*#%&"[int(r.integers(4))] * 3 for w in words]
     s = " ".join(words)
     return s[:1].upper() + s[1:] + ("." if stop else "")
 
@@ -380,7 +387,7 @@ def generate(seed: int) -> tuple[str, list[str]]:
 _trained: dict[tuple, BlockLabeller] = {}
 
 
-def trained(n_pages: int = 600, seed: int = 1000) -> BlockLabeller:
+def trained(n_pages: int = 900, seed: int = 1000) -> BlockLabeller:
     """The labeller, fitted to ``n_pages`` generated pages once a process."""
     key = (n_pages, seed)
     if key not in _trained:
