@@ -96,7 +96,7 @@ def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
         parts = full.split(" ")
         return " ".join(_word(s, p, ("a" if gender == "f" else "n") if i == 0 and len(parts) > 1 else "k") for i, p in enumerate(parts)) + "|" + gender
     if kind == "ip":
-        return ".".join(str(v) for v in (10, *(_pick(s, 256) for _ in range(3)))) if entity.startswith("10.") else ".".join(["198", str(18 + _pick(s, 2)), str(_pick(s, 256)), str(_pick(s, 256))])
+        return ".".join(str(v) for v in (10, *(_pick(s, 256) for _ in range(3)))) if entity.startswith("10.") else ".".join([str(240 + _pick(s, 15)), *(str(_pick(s, 256)) for _ in range(3))])  # reserved, never routed
     if kind == "email":
         user, _, _ = entity.partition("@")
         return "".join(_letter(s, c) for c in user) + f"@{_WORDS[_pick(s, len(_WORDS))]}{_pick(s, 1000)}.example.org"
