@@ -41,9 +41,9 @@ _FLAT = "doc_id bigint, n bigint, name bigint, key int, body binary"
 
 
 def _ranges(docs: DataFrame) -> int:
-    """Hash ranges: a power of two, 1024 at least, about 1 MB of input each."""
+    """Hash ranges: a power of two, 256 at least, about 1 MB of input each."""
     need = plan_bytes(docs) >> 20
-    return 1 << max(10, min(20, int(need).bit_length()))
+    return 1 << max(8, min(20, int(need).bit_length()))
 
 
 def _set_sums(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +94,7 @@ def _mapper(n: int, lower: bool, bits: int):
             used, local = np.unique(d[a:b], return_inverse=True)
             keys.append(int(r))
             idss.append(name[used].tobytes())
-            sizes.append(size[used].tobytes())
+            sizes.append(size[used].astype(np.uint32).tobytes())
             bodies.append(low[a:b].tobytes() + local.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes())
         for a in range(0, len(keys), 512):
             yield pa.RecordBatch.from_arrays(
@@ -133,7 +133,7 @@ def _reducer(bits: int, buckets: int):
         r = key[0].as_py()
         cols = {c: table.column(c).to_pylist() for c in ("ids", "sizes", "body")}
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in cols["ids"]])
-        sizes = np.concatenate([np.frombuffer(x, np.int64) for x in cols["sizes"]])
+        sizes = np.concatenate([np.frombuffer(x, np.int64 if r >= span else np.uint32).astype(np.int64) for x in cols["sizes"]])
         if r >= span:
             reps = np.concatenate([np.frombuffer(x, np.int64) for x in cols["body"]])
             k = len(ids)
