@@ -5,10 +5,11 @@
    range; where a block meets a probe of another document, all holders of that
    hash get a hit.  A window that two documents share contains a whole block of
    the one, hence a hit in both.
-2. Hits extend to the windows around them.  Each candidate window's hash goes
-   to its range with the smallest document id that has it, combined per task
-   first; starts in other documents come back as removals.  Their union is the
-   set of maximal exact repeats.
+2. Hits extend to the windows around them.  The short hashes of step 1 only
+   propose; each candidate window is digested anew from its words (BLAKE2b).
+   The digest goes to its range with the smallest document id that has it,
+   combined per task first; starts in other documents come back as removals.
+   Their union is the set of maximal exact repeats.
 3. Only documents with removals are read once more, to digest what is left.
 
 Copies inside a task are folded before the shuffle, and a hash that over HOT
@@ -49,11 +50,8 @@ def _probe(block: int, bits: int):
         ids, words, counts = np.concatenate(ids), np.concatenate(words), np.concatenate(counts)
         woffs = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(counts, out=woffs[1:])
-        p, q = W.powers(len(words))
-        sums = np.zeros(len(words) + 1, U)
-        np.cumsum(words * p[: len(words)], out=sums[1:])
-        whole = W.mix((sums[woffs[1:]] - sums[woffs[:-1]]) * q[woffs[:-1]])
-        lead = B.fold(ids, counts, whole)
+        whole = np.frombuffer(b"".join(shas), U).reshape(-1, 4)
+        lead = B.fold(ids, *whole.T)
         rows = []
         for a in range(0, len(ids), 4096):
             z = slice(a, a + 4096)
@@ -149,23 +147,38 @@ def _meet(bits: int):
     return run
 
 
+def _digests(raw: bytes, offs: np.ndarray, s: np.ndarray, e: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """128-bit digests, as two columns, of the k words from each of ``at``."""
+    text = b" ".join(w for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()) for w in raw[a:b].split())
+    end = np.cumsum(e - s + 1) - 1  # in ``text``: one space after each word
+    lo, hi = end[at] - (e[at] - s[at]), end[at + k - 1]
+    out = b"".join(hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist()))
+    return np.frombuffer(out, U).reshape(-1, 2)
+
+
+def _runs2(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal pairs."""
+    start = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+    return start, np.diff(np.append(start, len(a)))
+
+
 def _extend(window: int, block: int, bits: int, bits2: int):
     """Candidate windows around hits."""
 
     def flush(ids, hs, ds, ps):
         ids = np.concatenate(ids)
         h, d, p = np.concatenate(hs), np.concatenate(ds), np.concatenate(ps)
-        order = np.argsort(h, kind="stable")
-        h, d, p = h[order], d[order], p[order]
+        order = np.lexsort((h[:, 1], h[:, 0]))
+        h, more, d, p = h[order, 0], h[order, 1], d[order], p[order]
         rows = []
         if len(h):
-            start, length = W.runs(h)
+            start, length = _runs2(h, more)
             low = np.repeat(np.minimum.reduceat(ids[d], start), length)
             gone = ids[d] > low
             if gone.any():
                 doc, (at,) = _per_doc(ids[d[gone]], p[gone])
                 rows += [(-1 - int(i % 1024), i.tobytes(), b) for i, b in zip(doc, at)]
-            rows += B.by_range(h[~gone], d[~gone], ids, bits2, p[~gone])
+            rows += B.by_range(h[~gone], d[~gone], ids, bits2, more[~gone], p[~gone])
         yield from B.emit(rows)
 
     def run(batches):
@@ -189,7 +202,7 @@ def _extend(window: int, block: int, bits: int, bits2: int):
                 np.add.at(mark, hi[good], -1)
             at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
             held[0].append(part.column(0).to_numpy().astype(np.int64))
-            held[1].append(W.window_hashes(words, window)[at])
+            held[1].append(_digests(data.tobytes(), offs, s, e, at, window))
             held[2].append(doc[at] + np.int32(rows))
             held[3].append((at - woffs[doc[at]]).astype(np.uint32))
             rows, size = rows + part.num_rows, size + len(at)
@@ -207,10 +220,10 @@ def _first(table_key, table):
     if table_key[0].as_py() < 0:
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
         return pa.table({"doc_id": ids, "starts": pa.array(table.column("body").to_pylist(), pa.binary())})
-    low, ids, p = B.read(table, (np.uint32,))
-    order = np.argsort(low, kind="stable")
-    low, ids, p = low[order], ids[order], p[order]
-    start, length = W.runs(low)
+    low, ids, more, p = B.read(table, (U, np.uint32))
+    order = np.lexsort((more, low))
+    low, ids, more, p = low[order], ids[order], more[order], p[order]
+    start, length = _runs2(low, more)
     gone = ids > np.repeat(np.minimum.reduceat(ids, start), length)
     doc, (at,) = _per_doc(ids[gone], p[gone]) if gone.any() else (np.zeros(0, np.int64), [[]])
     return pa.table({"doc_id": doc, "starts": pa.array(at, pa.binary())})

@@ -100,6 +100,23 @@ def test_word_dedup_of_hot_passages_and_repeated_rows(spark, monkeypatch):
     assert all("s5 " not in r.kept for r in got if r.doc_id)
 
 
+def test_word_dedup_of_windows_with_one_short_hash(spark, tmp_path):
+    from tessera.llm import blobs as B
+
+    word = [f"v{i}" for i in np.random.default_rng(4).integers(0, 5000, 1 << 21)]
+    data = np.frombuffer(" ".join(word).encode(), np.uint8)
+    h = W.window_hashes(W.word_hashes(data, *W.spans(data, np.array([0, len(data)]))[:2]), 50)
+    cell = B.short(h, 6)
+    by = np.argsort(cell, kind="stable")
+    k = np.flatnonzero(cell[by][1:] == cell[by][:-1])[0]
+    a, b = (word[i : i + 50] for i in by[k : k + 2].tolist())
+    assert a != b
+    rows = [(i, " ".join(w)) for i, w in enumerate((a, b, a[:25], b[:25]))]  # the halves make both windows candidates
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))  # a table of known, small size: the fewest bits
+    got = {r.doc_id: tuple(r)[1:] for r in word_dedup(spark.read.parquet(str(tmp_path / "docs"))).collect()}
+    assert got == brute.word_dedup(rows) and not any(x[1] for x in got.values())
+
+
 def test_suffix_dedup_against_brute_force(spark, sf_dir, odd, none):
     small = documents(spark, sf_dir).where(F.length("text") < 6000)  # the plain version is slow
     for df in (small, odd):
