@@ -40,15 +40,29 @@ PATTERN = re.compile(
     rf"|(?P<name>\b(?:{'|'.join(TITLES)})\b\.? {_NAME}(?: {_NAME})?)"
 )
 KINDS = tuple(PATTERN.groupindex)
+
+
+def _wide_digits() -> re.Pattern:
+    """UTF-8 of any decimal digit beyond ASCII: ``\\d`` of PATTERN has them too."""
+    last: dict[bytes, bytes] = {}
+    for c in filter(str.isdecimal, map(chr, range(128, 0x110000))):
+        x = c.encode()
+        last[x[:-1]] = last.get(x[:-1], b"") + x[-1:]
+    return re.compile(b"|".join(re.escape(k) + b"[" + re.escape(v) + b"]" for k, v in last.items()))
+
+
+_WIDE = _wide_digits()
 _HINTS = [b"AKIA", b"password", b"token", b"api_key"] + [f"{t} ".encode() for t in TITLES] + [f"{t}. ".encode() for t in TITLES]
 
 
 def normal(kind: str, value: str) -> str:
     """The entity behind a spelling: what must stay the same surrogate."""
     if kind in ("phone", "card", "ssn"):
-        return re.sub(r"\D", "", value)
+        return _ascii(re.sub(r"\D", "", value))
     if kind == "iban":
-        return value.replace(" ", "")
+        return _ascii(value.replace(" ", ""))
+    if kind == "ip":
+        return _ascii(value)
     if kind == "email":
         return value.lower()
     if kind == "name":
@@ -56,6 +70,16 @@ def normal(kind: str, value: str) -> str:
     return value
 
 
+def _ascii(value: str) -> str:
+    """The same with ASCII digits."""
+    return value if value.isascii() else "".join(str(int(c)) if c.isdecimal() else c for c in value)
+
+
+def _script(digit: str, sample: str) -> str:
+    """An ASCII digit in the script of another digit."""
+    return chr(ord(sample) - int(sample) + int(digit)) if digit.isdecimal() and sample.isdecimal() else digit
+
+
 def _stream(key: bytes, kind: str, entity: str, draw: int):
     block, buf = 0, b""
     while True:
@@ -140,7 +164,10 @@ def shaped(kind: str, value: str, new: str) -> str:
     """``new`` in the spelling of this occurrence."""
     if kind in ("phone", "card", "ssn", "iban"):
         left = iter(new)
-        return "".join(next(left) if c.isalnum() else c for c in value)
+        return "".join(_script(next(left), c) if c.isalnum() else c for c in value)
+    if kind == "ip" and not value.isascii():
+        wide = next(c for c in value if c.isdecimal() and not c.isascii())
+        return "".join(_script(c, wide) for c in new)
     if kind == "email":
         return new.upper() if value.isupper() else new
     if kind == "name":
@@ -149,11 +176,13 @@ def shaped(kind: str, value: str, new: str) -> str:
 
 
 def _suspects(data: np.ndarray, offs: np.ndarray, raw: bytes) -> list[int]:
-    """Rows with anything an entity needs: a digit pair, an @ or a hint."""
+    """Rows with anything an entity needs: two digits side by side or about a
+    dot, a digit beyond ASCII, an @ or a hint.  All rows of ``find`` and more."""
     digit = (data >= 48) & (data <= 57)
     flag = np.zeros(len(data) + 1, np.int64)
     mark = data == ord("@")
     mark[1:] |= digit[1:] & digit[:-1]
+    mark[2:] |= digit[2:] & (data[1:-1] == ord(".")) & digit[:-2]
     np.cumsum(mark, out=flag[1:])
     some = set(np.flatnonzero(flag[offs[1:]] > flag[offs[:-1]]).tolist())
     for hint in _HINTS:
@@ -162,6 +191,11 @@ def _suspects(data: np.ndarray, offs: np.ndarray, raw: bytes) -> list[int]:
             row = int(np.searchsorted(offs, at, "right")) - 1
             some.add(row)
             at = raw.find(hint, int(offs[row + 1]))
+    wide = None if raw.isascii() else _WIDE.search(raw)
+    while wide:
+        row = int(np.searchsorted(offs, wide.start(), "right")) - 1
+        some.add(row)
+        wide = _WIDE.search(raw, int(offs[row + 1]))
     return sorted(some)
 
 

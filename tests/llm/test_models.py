@@ -177,6 +177,28 @@ def test_surrogates(spark, odd, none):
     assert pii.pii_surrogates(none).count() == 0
 
 
+def test_surrogates_of_all_that_the_pattern_finds(spark, sf_dir):
+    import pyarrow as pa
+
+    from tessera.llm import words as W
+
+    wide = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
+    lone = ["8.8.8.8", "1.1.1.1", "+1 434 555 2368", "(434) 555-2368", "434-555-2368", "078-05-1120", "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32", "10.2.3.4", "a@b.example.com", "password=x", "Mr Smith"]
+    lone += [x.translate(wide) for x in lone] + ["9.9.9.9".translate(str.maketrans("9", "９")), "8.8.8.8".translate(str.maketrans("8", "𝟖"))]
+    texts = [f"see {x} there" for x in lone] + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    data, offs = W.utf8(pa.array(texts, pa.string()))
+    need = {i for i, t in enumerate(texts) if t and pii.find(t)}
+    assert set(range(12)) <= need and need <= set(pii._suspects(data, offs, data.tobytes()))
+
+    rows = [(i, t) for i, t in enumerate(texts[: len(lone)])] + [(100, "here 8.8.8.8 and 12.34.56.78")]
+    got = {r.doc_id: r for r in pii.pii_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].n_entities >= 1 and got[i].text != t for i, t in rows if i in need or i == 100)
+    assert got[0].text.split()[1] == got[100].text.split()[1]  # one address, one surrogate
+    for i in range(12):  # digits keep their script, and the number its surrogate
+        if 12 + i in need and i in (0, 1, 2, 3, 4, 5, 6, 8):
+            assert got[12 + i].text == got[i].text.translate(wide)
+
+
 def test_surrogates_stay_distinct(spark):
     def few(key, kind, entity, draw=0):  # forty values, one of which occurs
         return f"198.18.0.{(sum(map(ord, entity)) + draw * 7) % 40}"
