@@ -9,6 +9,8 @@
    results are orthonormalised on the driver (terms x rank, both bounded).
 3. A passage whose cosine with an item, in the latent space, reaches
    ``cosine`` is a candidate.
+   Benchmarks beyond ``MAX_ITEMS`` or ``MAX_TERMS`` are cut into blocks, each
+   searched for in the whole corpus; their finds are united.
 4. Candidates are checked by the longest common subsequence of terms with the
    item around the passage: ``coverage`` of the item's terms, and the item's
    answer (its last ``ANSWER`` terms) for the most part, in that order.
@@ -16,6 +18,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -25,8 +30,9 @@ from .store import Scratch
 
 PASSAGE, STRIDE = 64, 32
 ANSWER = 4
-#: most benchmark items and terms of one call: what the driver and tasks hold
+#: most benchmark items and terms of one block: what the driver and tasks hold
 MAX_ITEMS, MAX_TERMS = 20_000, 65_535
+_FOUND = "doc_id bigint, item_id bigint, coverage double, cosine double"
 _STRIP = np.zeros(256, bool)
 _STRIP[list(b".,;:!?\"'()[]*#%&$|<>")] = True
 
@@ -54,7 +60,7 @@ class Items:
         h, woffs = _words(data, offs)
         self.vocab = np.unique(h)
         if len(self.vocab) > MAX_TERMS or len(ids) > MAX_ITEMS:
-            raise ValueError(f"split the benchmark: {len(ids)} items with {len(self.vocab)} terms are beyond {MAX_ITEMS} and {MAX_TERMS}")
+            raise ValueError(f"{len(ids)} items with {len(self.vocab)} terms are beyond {MAX_ITEMS} and {MAX_TERMS}")
         term = np.searchsorted(self.vocab, h) + 1
         self.ids = np.array(ids, np.int64)
         self.terms = [term[a:b] for a, b in zip(woffs[:-1], woffs[1:])]
@@ -242,8 +248,9 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float, cov
             z = _rows_times(row, term, v, len(owner), basis)
             some = np.flatnonzero(norm > 0)
             z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-6)
-            for a in range(0, len(some), 4096):
-                p, i = np.nonzero(z[some[a : a + 4096]] @ q.T >= cosine)
+            step = min(4096, 1 + (1 << 24) // len(q))
+            for a in range(0, len(some), step):
+                p, i = np.nonzero(z[some[a : a + step]] @ q.T >= cosine)
                 last, near = -1, frozenset()
                 for p1, i1 in zip(some[p + a].tolist(), i.tolist()):
                     d = int(owner[p1])
@@ -278,33 +285,61 @@ def _telling(items: Items, df: np.ndarray, passages: int) -> np.ndarray:
     return keep
 
 
-def load_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Items:
-    rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).limit(MAX_ITEMS + 1).collect()
-    rows = sorted({(r.i, r.t) for r in rows if r.t.split()})
-    return Items([r[0] for r in rows], [r[1] for r in rows])
+def _blocks(rows: Iterator[tuple[int, str]]) -> Iterator[Items]:
+    """Items in blocks of at most MAX_ITEMS items and MAX_TERMS terms."""
+    held, terms = [], set()
+    for i, t in rows:
+        raw = t.encode()
+        own = set(_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist())
+        if held and (len(held) >= MAX_ITEMS or len(terms | own) > MAX_TERMS):
+            yield Items(*map(list, zip(*held)))
+            held, terms = [], set()
+        held.append((i, t))
+        terms |= own
+    if held:
+        yield Items(*map(list, zip(*held)))
+
+
+def load_items(benchmark: DataFrame, scratch: Scratch, item_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
+    """All distinct items with words, a part of about MAX_ITEMS rows at a time."""
+    rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("bigint").alias("i"), F.col(text_col).alias("t"))
+    rows = scratch.put(rows.distinct(), "items")
+    parts = -(-rows.count() // MAX_ITEMS)
+
+    def read():
+        for k in range(parts):
+            part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).collect()
+            yield from sorted((r.i, r.t) for r in part if r.t.split())
+
+    return _blocks(read())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float = 0.5, coverage: float = 0.6, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, item_id, coverage, cosine) of each item found in a document."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "leaks")
-    items = load_items(benchmark)
-    schema = "doc_id bigint, item_id bigint, coverage double, cosine double"
-    if not len(items.vocab):
-        return spark.range(0).selectExpr("cast(null as bigint) doc_id", "cast(null as bigint) item_id", "cast(null as double) coverage", "cast(null as double) cosine").where("false")
-    n = len(items.vocab)
     slim = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    seqs = scratch.put(slim.mapInArrow(_encode(items), "doc_id bigint, terms binary"), "terms")
+    found = []
+    for b, items in enumerate(load_items(benchmark, scratch)):
+        seqs = scratch.put(slim.mapInArrow(_encode(items), "doc_id bigint, terms binary"), f"terms-{b}")
+        found.append(scratch.put(_leaks(seqs, items, rank, cosine, coverage, seed), f"leaks-{b}"))
+        scratch.drop(f"terms-{b}")
+    if not found:
+        return spark.createDataFrame([], _FOUND)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _leaks(seqs: DataFrame, items: Items, rank: int, cosine: float, coverage: float, seed: int) -> DataFrame:
+    """Finds of one block of items."""
+    n = len(items.vocab)
     counts = {r.term: r.n for r in seqs.mapInArrow(_frequencies(n), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.array([np.log((1 + counts.get(n, 0)) / (1 + counts.get(t, 0))) + 0.05 for t in range(n)], np.float32)
     idf[~_telling(items, np.array([counts.get(t, 0) for t in range(n)]), counts.get(n, 0))] = 0
     # the items as rows of their own, so that the space holds what they say
-    own = np.zeros((len(items.ids), n), np.float32)
-    for i, t in enumerate(items.terms):
-        if len(t):
-            r, c, v = _tf(t, np.zeros(len(t), np.int64), n)
-            w, norm = _weigh(r, c, v, idf, 1)
-            own[i, c] = w / max(norm[0], 1e-6)
+    m = len(items.ids)
+    row, term, val = _tf(np.concatenate(items.terms), np.repeat(np.arange(m), [len(t) for t in items.terms]), n)
+    val, norm = _weigh(row, term, val, idf, m)
+    val = val / np.maximum(norm[row], 1e-6)
     k = min(n, rank)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, k)))[0].astype(np.float32)
     passages = max(1, counts.get(n, 0))
@@ -313,9 +348,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float =
         z = np.zeros((n, k), np.float64)
         for r in parts:
             z[r.block : r.block + 64] = np.frombuffer(r.part, np.float32).reshape(-1, k)
-        z += passages * (own.T @ (own @ basis))  # items weigh as much as the corpus
+        z += passages * _columns_times(row, term, val, n, _rows_times(row, term, val, m, basis)).astype(np.float64)  # items weigh as much as the corpus
         basis = np.linalg.qr(z)[0].astype(np.float32)
-    return seqs.mapInArrow(_search(items, idf, basis, cosine, coverage), schema)
+    return seqs.mapInArrow(_search(items, idf, basis, cosine, coverage), _FOUND)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, **options) -> DataFrame:

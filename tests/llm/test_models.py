@@ -142,6 +142,16 @@ def test_leaks_against_brute_force(spark, odd, none):
     assert D.decontaminate(none, bench).count() == 0 and not D.decontaminate(odd, bench.where("false")).where("contaminated").count()
 
 
+@pytest.mark.parametrize("limit, value", [("MAX_ITEMS", 4), ("MAX_TERMS", 90)])
+def test_benchmark_beyond_a_block(spark, monkeypatch, limit, value):
+    monkeypatch.setattr(D, limit, value)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in range(11)]
+    bench = spark.createDataFrame([items[0]] * 3 + [(90, " "), (91, None), (92, "\u00a0")] + items, "item_id long, text string").coalesce(1)
+    rows = [(i, f"before {t} after") for i, t in items] + [(50, items[1][1] + " " + items[10][1]), (51, "none of these")]
+    got = {r.doc_id: list(r.item_ids) for r in D.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {**{i: [i] for i in range(11)}, 50: [1, 10], 51: []}
+
+
 def test_paraphrased_leak(spark):
     bench = spark.createDataFrame([(1, " ".join(f"item{i}" for i in range(40))), (2, None), (3, " ")], "item_id long, text string")
     para = [f"item{i}" for i in range(40) if i % 6]
