@@ -1,16 +1,19 @@
 """URL filter: path rules first, then a logistic regression on hashed character
 n-grams of host and path.
 
-DataFrame functions only.  The model is trained from a small labelled table by
-full-batch gradient steps, each one aggregation over that table; its weights, a
-fixed number of buckets, become a literal array, and scoring a URL is one
-projection without a shuffle.
+DataFrame functions only.  One job hashes a small labelled table, bounded in
+rows, for the fit; the weights, a fixed number of buckets, become a literal
+array, and scoring a URL is one projection without a shuffle.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: lengths of the n-grams, and buckets they are hashed to
+SIZES, BUCKETS = (3,), 1 << 12
+
 #: fixed values: the rules of the standing query, verdict and prefix
 RULES = (
     ("allow", "org/"),
@@ -100,11 +103,16 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
 
 
-def grams(host: Column, path: Column, n: int, buckets: int) -> Column:
-    """Distinct buckets of the character n-grams of ``^host|path$``."""
+def grams(host: Column, path: Column, sizes: tuple[int, ...], buckets: int) -> Column:
+    """Distinct buckets of the character n-grams, n each of ``sizes``, of
+    ``^host|path$``."""
     text = F.concat(F.lit("^"), host, F.lit("|"), F.lower(path), F.lit("$"))
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-    return F.array_distinct(F.transform(pieces, lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int")))
+
+    def pieces(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(buckets)).cast("int"))
+
+    return F.array_distinct(F.concat(*[pieces(n) for n in sizes]))
 
 
 def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
@@ -127,40 +135,50 @@ def _listed(spark: SparkSession, pairs) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(y).alias("label"), F.lit(u).alias("url")) for y, u in pairs])))
 
 
-def train(spark: SparkSession, labelled, n: int = 3, buckets: int = 4096, steps: int = 30, rate: float = 8.0, decay: float = 1e-3, momentum: float = 0.9) -> tuple[list[float], float]:
-    """Weights of a logistic regression by full-batch gradient steps with momentum.
-
-    ``labelled`` is a DataFrame (label, url) or a small sequence of such pairs.
-    Weights and bias are the only things that reach the driver: ``buckets`` + 1
-    numbers, whatever the table's size.
-    """
+def _hashed(spark: SparkSession, labelled, sizes: tuple[int, ...], buckets: int, max_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, row of each entry, bucket of each entry) of at most ``max_rows``
+    distinct labelled URLs, those of least hash: one job, whatever their number."""
     table = labelled if isinstance(labelled, DataFrame) else _listed(spark, labelled)
-    x = table.select(F.col("label").cast("double").alias("y"), grams(host_of(F.col("url")), path_of(F.col("url")), n, buckets).alias("g")).where("y is not null")
-    x = x.withColumn("scale", 1 / F.sqrt(F.size("g")))
-    weights, bias = [0.0] * buckets, 0.0
-    speed, pace = [0.0] * buckets, 0.0
+    rows = (
+        table.where("label is not null").select(F.col("label").cast("double").alias("y"), F.coalesce("url", F.lit("")).alias("url")).distinct()
+        .orderBy(F.xxhash64("url", F.lit(17)), "url", "y").limit(max_rows)
+        .select("y", grams(host_of(F.col("url")), path_of(F.col("url")), sizes, buckets).alias("g")).collect()
+    )
+    size = [len(r.g) for r in rows]
+    return np.array([r.y for r in rows], float), np.repeat(np.arange(len(rows)), size), np.array([b for r in rows for b in r.g], np.int64)
+
+
+def fit(y: np.ndarray, row: np.ndarray, bucket: np.ndarray, buckets: int, steps: int = 400, rate: float = 4.0, decay: float = 1e-3, momentum: float = 0.9) -> tuple[np.ndarray, float]:
+    """Weights and bias of least mean log loss plus ``decay`` / 2 of the squared
+    weights; every row's entries weigh one over the root of their number.  Full
+    gradient steps with momentum, on the driver: the rows are few."""
+    w, bias = np.zeros(buckets), 0.0
+    speed, pace = np.zeros(buckets), 0.0
+    if not len(y):
+        return w, bias
+    scale = 1 / np.sqrt(np.bincount(row, minlength=len(y)))[row]
     for _ in range(steps):
-        w = F.lit(weights) if any(weights) else F.array_repeat(F.lit(0.0), buckets)
-        z = F.aggregate("g", F.lit(0.0), lambda a, i: a + F.element_at(w, i + 1)) * F.col("scale") + F.lit(bias)
-        err = x.withColumn("e", 1 / (1 + F.exp(-z)) - F.col("y")).withColumn("b", F.explode(F.concat(F.col("g"), F.array(F.lit(-1)))))
-        grad = err.groupBy("b").agg((F.sum(F.when(F.col("b") < 0, F.col("e")).otherwise(F.col("e") * F.col("scale")))).alias("s"), F.count("*").alias("c")).collect()
-        total = sum(r.c for r in grad if r.b < 0) or 1
-        for r in grad:
-            if r.b < 0:
-                pace = momentum * pace - rate * 0.1 * r.s / total
-                bias += pace
-            else:
-                speed[r.b] = momentum * speed[r.b] - rate * (r.s / total + decay * weights[r.b])
-                weights[r.b] += speed[r.b]
-    return weights, bias
+        z = np.bincount(row, w[bucket] * scale, len(y)) + bias
+        e = 1 / (1 + np.exp(-z)) - y
+        speed = momentum * speed - rate * (np.bincount(bucket, e[row] * scale, buckets) / len(y) + decay * w)
+        pace = momentum * pace - 0.1 * rate * e.mean()
+        w, bias = w + speed, bias + pace
+    return w, bias
+
+
+def train(spark: SparkSession, labelled, sizes: tuple[int, ...] = SIZES, buckets: int = BUCKETS, max_rows: int = 20_000) -> tuple[list[float], float]:
+    """Weights of the logistic regression on ``labelled``, a DataFrame (label,
+    url) or a small sequence of such pairs; ``max_rows`` bounds what is fitted."""
+    w, bias = fit(*_hashed(spark, labelled, sizes, buckets, max_rows), buckets)
+    return w.tolist(), float(bias)
 
 
 def url_filter(
     pages: DataFrame,
     labelled=LABELLED,
     rules: tuple[tuple[str, str], ...] = RULES,
-    n: int = 3,
-    buckets: int = 4096,
+    sizes: tuple[int, ...] = SIZES,
+    buckets: int = BUCKETS,
     cut: float = 0.6,
     id_col: str = "page_id",
     url_col: str = "url",
@@ -172,12 +190,12 @@ def url_filter(
     long URLs are scored whole; other columns are ignored.  Without labelled
     rows the weights are zero, and URLs without a rule are allowed.
     """
-    weights, bias = train(pages.sparkSession, labelled, n, buckets)
+    weights, bias = train(pages.sparkSession, labelled, sizes, buckets)
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     slim = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     w = F.lit(weights)
     rule, say = rule_for(F.col("host"), F.col("path"), rules)
-    scored = slim.withColumn("g", grams(F.col("host"), F.col("path"), n, buckets))
+    scored = slim.withColumn("g", grams(F.col("host"), F.col("path"), sizes, buckets))
     z = F.aggregate("g", F.lit(0.0), lambda a, i: a + F.element_at(w, i + 1)) / F.sqrt(F.size("g")) + F.lit(bias)
     return scored.withColumn("score", 1 / (1 + F.exp(-z))).select(
         "page_id", "host", "path", rule.alias("rule"),

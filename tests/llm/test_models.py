@@ -84,6 +84,30 @@ def test_url_model_on_held_out_rows(spark):
     assert sum(got[i] == ("block" if y else "allow") for i, _, y in rest) >= 0.8 * len(rest)
 
 
+def test_url_weights_are_those_of_plain_newton_steps(spark):
+    y, row, bucket = U._hashed(spark, U.LABELLED, (3,), 256, 10**6)
+    w, bias = U.fit(y, row, bucket, 256)
+    x = np.zeros((len(y), 257))
+    np.add.at(x, (row, bucket), 1)
+    x[:, :256] /= np.sqrt(np.bincount(row))[:, None]
+    x[:, 256] = 1
+    v, keep = np.zeros(257), np.append(np.full(256, 1e-3), 0)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-x @ v))
+        v -= np.linalg.solve((x.T * (p * (1 - p))) @ x / len(y) + np.diag(keep + 1e-12), x.T @ (p - y) / len(y) + keep * v)
+    assert np.abs(x @ v - x @ np.append(w, bias)).max() < 0.15
+    assert len(U._hashed(spark, U.LABELLED, (3,), 256, 7)[0]) == 7  # the bound on rows
+    pages = [(1, "http://a.example.com/x"), (2, None), (3, "http://free-casino.example.net/")]
+    w, bias = U.train(spark, U.LABELLED)
+    at = {r.page_id: r.score for r in U.url_filter(spark.createDataFrame(pages, "page_id long, url string"), rules=()).collect()}
+    for i, url in pages:  # scored apart, one n-gram at a time
+        host, path = (re.match(r".*?://([^/?#]*)([^?#]*)", url).groups() if url else ("", ""))
+        text = f"^{host}|{path}$"
+        pieces = [text[k : k + 3] for k in range(max(1, len(text) - 2))]
+        found = {r.b for r in spark.createDataFrame([(p,) for p in pieces], "g string").select(F.pmod(F.xxhash64("g"), F.lit(U.BUCKETS)).alias("b")).collect()}
+        assert abs(at[i] - 1 / (1 + np.exp(-sum(w[b] for b in found) / len(found) ** 0.5 - bias))) < 1e-9
+
+
 def test_quality_model(spark, odd, none):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = Q.train(docs, labels)
