@@ -79,3 +79,27 @@ def lcs(a, b):
         for j, y in enumerate(b):
             row[j + 1] = before[j] + 1 if x == y else max(row[j], before[j + 1])
     return row[-1]
+
+
+def surrogates(texts, pii, key):
+    """Draws entity by entity: of those that want one surrogate the least keeps
+    it, the earlier draw first; none may be an entity that occurs."""
+    said = [[m for m in pii.mentions(t) if m[0] != "initial"] if t else [] for t in texts]
+    draw = {m[:2]: 0 for ms in said for m in ms}
+    while True:
+        new = {e: pii.surrogate(key, *e, k) for e, k in draw.items()}
+        first = {}
+        for e in draw:
+            w = (e[0], new[e])
+            first[w] = min(first.get(w, (draw[e], e[1])), (draw[e], e[1]))
+        bad = [e for e in draw if first[e[0], new[e]][1] != e[1] or (e[0], new[e]) in draw]
+        if not bad:
+            break
+        for e in bad:
+            draw[e] += 1
+    out = []
+    for t, ms in zip(texts, said):
+        for kind, entity, a, b in reversed(ms):
+            t = t[:a] + pii.shaped(kind, t[a:b], new[kind, entity]) + t[b:]
+        out.append(t)
+    return dict(enumerate(out))
