@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,37 +26,122 @@ BLOCK = frozenset(
 #: fixed values: elements without an end tag
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: fixed values: elements whose content is not text of the page
-SILENT = frozenset("script style noscript template svg math head title object canvas audio video map".split())
+SILENT = frozenset("script style noscript template svg head title canvas audio video".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 #: fixed values: a start tag in the row ends an open tag of the row
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+#: depth beyond which an element takes the place of the one around it (browsers
+#: do so at 512); it bounds tag paths, texts are not affected
+DEPTH = 128
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)?(\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
+_TELLING = frozenset("class id role hidden aria-hidden style".split())
 
 PATH_BUCKETS, WORD_BUCKETS, N_NUMBERS = 512, 64, 8
 N_IN = PATH_BUCKETS + WORD_BUCKETS + N_NUMBERS
 
 
-def _names(attrs: str) -> list[str]:
+def _names(attrs: list[tuple[str, str]]) -> list[str]:
     out = []
-    for k, a, b, c in _ATTR.findall(attrs):
-        k, v = k.lower(), a or b or c
-        if k in ("hidden",) or (k == "aria-hidden" and v == "true") or (k == "style" and re.search(r"display\s*:\s*none", v)):
+    for k, v in attrs:
+        if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and re.search(r"display\s*:\s*none", v)):
             out.append("hidden")
-        elif k != "style" and k != "aria-hidden":
+        elif k not in ("style", "aria-hidden"):
             out += ["." + x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", v).lower()) if len(x) > 1]
     return out
 
 
+def _attributes(page: str, at: int) -> tuple[list[tuple[str, str]], int]:
+    """Telling attributes of the tag whose name ends at ``at``, and where the
+    tag ends: past its >, or -1 where the page ends before.  Linear: a quote
+    that is not closed ends the page."""
+    out = []
+    while True:
+        m = _ATTR.match(page, at)
+        name, at = m.group(1), m.end()
+        if at == len(page):
+            return out, -1
+        value = ""
+        if name and m.group(2):
+            if page[at] in "\"'":
+                end = page.find(page[at], at + 1)
+                if end < 0:
+                    return out, -1
+                value, at = page[at + 1 : end], end + 1
+            else:
+                end = _BARE.match(page, at).end()
+                value, at = page[at:end], end
+        if name and name.lower() in _TELLING:
+            out.append((name.lower(), value))
+        if not name or (at < len(page) and page[at] == ">"):
+            if at < len(page) and page[at] == ">":
+                return out, at + 1
+            if not name:
+                at += 1  # a stray =
+
+
+def _tokens(page: str):
+    """("text", text) and (kind, name, attributes, closed) of tags, in order; one
+    pass in linear time.  Comments, declarations and what follows an unfinished
+    tag are left out."""
+    at, n = 0, len(page)
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", page[at:]
+            return
+        after = page[lt + 1 : lt + 2]
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 2)  # <!--> is a whole comment
+            nxt = end + 3 if end >= 0 else n
+        elif page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt)
+            if lt > at:
+                yield "text", page[at:lt]
+            yield "text", html.escape(page[lt + 9 : end if end >= 0 else n])
+            at = end + 3 if end >= 0 else n
+            continue
+        elif after and after in "!?" or (after == "/" and not _NAME.match(page, lt + 2)):
+            end = page.find(">", lt)
+            nxt = end + 1 if end >= 0 else n
+        elif name := _NAME.match(page, lt + 1 + (after == "/")):
+            if lt > at:
+                yield "text", page[at:lt]
+            attrs, end = ([], name.end() + 1) if page.startswith(">", name.end()) else _attributes(page, name.end())
+            if end < 0:
+                return
+            tag, at = name.group().lower(), end
+            if after == "/":
+                yield "end", tag
+                continue
+            yield "start", tag, attrs, page[end - 2] == "/"
+            if tag in RAW:
+                stop = re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A).search(page, at)
+                inner = page[at : stop.start() if stop else n]
+                if tag == "textarea":
+                    yield "text", inner
+                if not stop:
+                    return
+                at = stop.start()
+            continue
+        else:
+            nxt = lt + 1
+            yield "text", page[at:nxt]
+            at = nxt
+            continue
+        if lt > at:
+            yield "text", page[at:lt]
+        at = nxt
+
+
 def blocks(page: str) -> list[tuple[list[str], str, float]]:
     """(path tokens, text, share of it in links) of each block with text."""
     out: list[tuple[list[str], str, float]] = []
     stack: list[tuple[str, list[str]]] = []
+    still: Counter[str] = Counter()  # open elements by name
     text: list[tuple[str, bool]] = []
-    silent = links = 0
-    at = 0
 
     def flush() -> None:
         if text:
@@ -67,75 +153,55 @@ def blocks(page: str) -> list[tuple[list[str], str, float]]:
             text.clear()
 
     def pop_to(depth: int) -> None:
-        nonlocal silent, links
         while len(stack) > depth:
-            tag, _ = stack[-1]
+            tag = stack[-1][0]
             if tag in BLOCK:
                 flush()
             stack.pop()
-            silent -= tag in SILENT
-            links -= tag == "a"
-
-    n = len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            if not silent:
-                text.append((page[at:], links > 0))
-            break
-        if m.start() > at and not silent:
-            text.append((page[at : m.start()], links > 0))
-        at = m.end()
-        name = m.group(2)
-        if name is None:
-            if m.group().startswith("<![CDATA[") and not silent:
-                text.append((html.escape(m.group()[9:-3]), links > 0))
-            continue
-        name = name.lower()
-        if m.group(1):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
-            else:
-                if name == "p":
-                    flush()
-            continue
-        if name == "br":
-            if not silent:
+            still[tag] -= 1
+            still["(silent)"] -= tag in SILENT
+
+    for kind, what, *rest in _tokens(page):
+        if kind == "text":
+            if not still["(silent)"]:
+                text.append((what, still["a"] > 0))
+        elif kind == "end":
+            if still[what]:
+                k = len(stack) - 1
+                while stack[k][0] != what:
+                    k -= 1
+                pop_to(k)
+            elif what == "p":
+                flush()
+        elif what == "br":
+            if not still["(silent)"]:
                 text.append((" ", False))
-            continue
-        if name in VOID:
-            if name in BLOCK:
+        elif what in VOID:
+            if what in BLOCK:
                 flush()
-            continue
-        if name in BLOCK:
-            flush()
-            for k in range(len(stack) - 1, -1, -1):  # an open paragraph ends here
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-            ends = CLOSES.get(name)
-            if ends:
-                for k in range(len(stack) - 1, -1, -1):
+        else:
+            if what in BLOCK:
+                flush()
+                for k in range(len(stack) - 1, -1, -1):  # an open paragraph ends here
+                    if stack[k][0] == "p":
+                        pop_to(k)
+                        break
+                    if stack[k][0] in BLOCK:
+                        break
+                ends = CLOSES.get(what, ())
+                for k in range(len(stack) - 1, -1, -1) if ends else ():
                     if stack[k][0] in ends:
                         pop_to(k)
                         break
                     if stack[k][0] in ("ul", "ol", "dl", "table", "select", "menu"):
                         break
-        if m.group(3).rstrip().endswith("/") and name not in BLOCK and name not in SILENT:
-            continue
-        stack.append((name, _names(m.group(3)) if m.group(3) else []))
-        silent += name in SILENT
-        links += name == "a"
-        if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            if name == "textarea" and not silent and end:
-                text.append((page[at : end.start()], False))
-            at = end.end() if end else n
-            pop_to(len(stack) - 1)
+            attrs, closed = rest
+            if closed and what not in BLOCK and what not in SILENT:
+                continue
+            pop_to(DEPTH - 1)
+            stack.append((what, _names(attrs)))
+            still[what] += 1
+            still["(silent)"] += what in SILENT
     flush()
     return out
 
@@ -163,9 +229,7 @@ def vectors(page: list[tuple[list[str], str, float]]) -> tuple[np.ndarray, np.nd
                     _memo.clear()
             rows.append(i), cols.append(b)
         words = text.split(" ")
-        for w in words[:64]:  # the vector's word part; the text stays whole
-            dense[i, zlib.crc32(w.lower().encode()) % WORD_BUCKETS] += 1
-        dense[i, :WORD_BUCKETS] /= max(1, min(len(words), 64))
+        dense[i, :WORD_BUCKETS] = np.bincount([zlib.crc32(w.lower().encode()) % WORD_BUCKETS for w in words], minlength=WORD_BUCKETS) / len(words)
         dense[i, WORD_BUCKETS:] = (np.log1p(len(words)) / 5, linked, i / n, len(path) / 20, text[-1] in ".!?…:\"”»", len(text) / len(words) / 10, words[0][:1] in "©&" or "©" in text, text[:1].isupper())
     return np.array([rows, cols], np.int64).reshape(2, -1), dense
 

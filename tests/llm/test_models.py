@@ -1,7 +1,9 @@
 import re
+import time
 
 import brute
 import numpy as np
+import pages
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -21,6 +23,34 @@ def test_main_text_of_new_pages():
     assert right >= 88
 
 
+def test_main_text_of_pages_of_another_make():
+    right = total = 0
+    for page, want in pages.FOREIGN:
+        got = M.extract([page], M.trained())[0].split("\n")
+        total += len(want)
+        right += len(set(want) & set(got)) - len(set(got) - set(want))
+    assert right >= 0.95 * total
+
+
+@pytest.mark.parametrize("page", ["<a b='" * 170_000, "<script>" + "</script " * 100_000, "</x" * 300_000, "<!--" * 250_000, "<a " + "b " * 400_000, "<div>" * 200_000, "<div>" * 2000 + "</span>" * 100_000, "a<b" * 300_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    M.blocks(page)
+    assert time.process_time() - began < 5
+
+
+def test_pages_that_end_within_a_tag():
+    texts = lambda page: [t for _, t, _ in M.blocks(page)]
+    assert texts('<p>a</p><a href="x>link') == ["a"] and texts("<p>a<b") == ["a"] and texts("<p>a</p") == ["a"] and texts("<p>a < b<!-- c") == ["a < b"]
+    assert texts("<p>a<!-->b<p x=1 =y z='q>r'>c</ x>d<?e?>f<math><mi>g</mi></math>") == ["ab", "cdfg"]
+    assert texts("<div>" * 1000 + "deep") == ["deep"]
+
+
+def test_all_words_of_a_block_count():
+    page = lambda last: M.vectors([(["p"], " ".join(["same"] * 100 + [last]), 0.0)])[1]
+    assert (page("one") != page("two")).any()
+
+
 def test_main_text_of_the_table(spark, sf_dir):
     import html
 
