@@ -49,12 +49,13 @@ def by_range(h: np.ndarray, row: np.ndarray, ids: np.ndarray, bits: int, *more:
     return out
 
 
-def read(table: pa.Table, kinds: tuple = ()) -> list[np.ndarray]:
-    """[low hash words, ids, *further arrays] of a range, blobs joined."""
+def read(table: pa.Table, kinds: tuple = (), name: np.dtype = np.dtype(np.int64)) -> list[np.ndarray]:
+    """[low hash words, ids, *further arrays] of a range, blobs joined; ids are
+    of type ``name``."""
     parts: list[list[np.ndarray]] = [[] for _ in range(2 + len(kinds))]
     rest = sum(np.dtype(k).itemsize for k in kinds)
     for i, b in zip(table.column("ids").to_pylist(), table.column("body").to_pylist()):
-        ids = np.frombuffer(i, np.int64)
+        ids = np.frombuffer(i, name)
         kind = np.dtype(np.uint16 if len(ids) <= 1 << 16 else np.uint32)
         m = len(b) // (4 + kind.itemsize + rest)
         parts[0].append(np.frombuffer(b, np.uint32, m))

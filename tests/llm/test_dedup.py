@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard as J
-from tessera.llm.suffix_dedup import SuffixLevels, anchors, suffix_dedup
+from tessera.llm import suffix_dedup as S
+from tessera.llm.suffix_dedup import suffix_dedup
 from tessera.llm.word_dedup import word_dedup
 from tessera.llm import words as W
 
@@ -120,44 +121,94 @@ def test_word_dedup_of_windows_with_one_short_hash(spark, tmp_path):
 def test_suffix_dedup_against_brute_force(spark, sf_dir, odd, none):
     small = documents(spark, sf_dir).where(F.length("text") < 6000)  # the plain version is slow
     for df in (small, odd):
-        want = brute.suffix_dedup([r for r in pairs(df) if r[0] is not None])
+        rows = [(k, t) for k, (_, t) in enumerate(pairs(df))]
+        want = brute.suffix_dedup(rows)
         got = suffix_dedup(df).collect()
-        assert {r.doc_id: tuple(r)[1:] for r in got if r.doc_id is not None} == want
-        assert len(got) == df.count() and all(r.n_removed == 0 for r in got if r.doc_id is None)
+        assert sorted((-1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in got) == sorted((-1 if i is None else i, *want[k]) for k, (i, _) in enumerate(pairs(df)))
     assert suffix_dedup(none).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_suffix_dedup_of_overlaps_and_edges(spark, seed):
+def overlapping(seed, n=40):
     r = np.random.default_rng(seed)
     base = ["".join(chr(97 + x) for x in r.integers(0, 3, 300)) for _ in range(6)]
     rows = []
-    for i in range(40):
+    for i in range(n):
         parts = [base[int(r.integers(6))][int(r.integers(0, 120)) : int(r.integers(150, 300))] for _ in range(4)]
         rows.append((i, "".join(parts) + chr(97 + i % 26) * int(r.integers(0, 90))))
+    return rows + [(n, "ab" * 60), (n + 1, "\0" * 90), (n + 2, "z" + "\0" * 38 + "y"), (n + 3, "xyz" * 13 + "x")]
+
+
+@pytest.mark.parametrize("seed, hot", [(0, 4096), (1, 4096), (2, 2), (3, 5)])
+def test_suffix_dedup_of_overlaps_and_edges(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(S, "HOT", hot)
+    rows = overlapping(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x.doc_id: tuple(x)[1:5] for x in suffix_dedup(df, length=40, bytes_kept=True).collect()}
+    got = {x.doc_id: tuple(x)[1:5] for x in suffix_dedup(df.repartition(3), length=40, bytes_kept=True).collect()}
     assert got == brute.suffix_dedup(rows, 40)
 
 
-def test_suffix_levels_find_common_grams():
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_a_later_batch_meets_the_levels_of_earlier_ones(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
+    rows = overlapping(5, 60)
+    rows += [(200, rows[3][1]), (201, "unlike " * 3 + "the rest")]
+    family = S.SuffixFamily(spark, 40, bits=4)
+    for a, b in ((0, 25), (25, 45), (45, len(rows))):
+        family.add(spark.createDataFrame(rows[a:b], "doc_id long, text string"))
+        got = {x.doc_id: tuple(x)[1:5] for x in family.result().collect()}
+        assert got == brute.suffix_dedup(rows[:b], 40)
+    # without the stored levels of the first call, what only they hold is missed
+    less = S.SuffixFamily(spark, 40, bits=4)
+    less.add(spark.createDataFrame(rows[:45], "doc_id long, text string"))
+    less.tables["levels"].clear()
+    less.add(spark.createDataFrame(rows[45:], "doc_id long, text string"))
+    assert {x.doc_id: tuple(x)[1:5] for x in less.result().collect()} != got
+
+
+def test_rows_are_documents_whatever_their_ids(spark):
+    one, two = "a1 " + "first text " * 3 + "q" * 60, "b2 " + "second one " * 4
+    rows = [(7, one), (7, two), (7, one + two), (None, two), (None, "short"), (8, None), (8, None), (9, "".join(chr(200 + i) for i in range(90)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.suffix_dedup([(k, t) for k, (_, t) in enumerate(rows)], 40)
+    assert sorted(tuple(r)[1:] for r in suffix_dedup(df, length=40).collect()) == sorted(want.values())
+
+
+def batches(texts, size):
+    for a in range(0, len(texts), size):
+        mine = [t for t in texts[a : a + size]]
+        ids = np.zeros(len(mine), S.KEY)
+        ids["a"] = np.arange(a, a + len(mine))
+        zero = np.zeros(len(mine), np.int64)
+        yield S.Batch(ids, zero, zero, np.zeros(len(mine), bool), mine)
+
+
+def test_suffix_levels_find_what_batches_share():
     r = np.random.default_rng(0)
-    texts = [bytes(r.integers(97, 100, 30, dtype=np.uint8)) for _ in range(200)]
-    texts += [t[:20] + b"zz" for t in texts[:30]]
-    levels = SuffixLevels(30, 15)
-    for a in range(0, len(texts), 7):
-        levels.add(texts[a : a + 7], np.arange(a, min(a + 7, len(texts))))
-    assert len(levels.levels) <= 8
-    want = {i for i, t in enumerate(texts) if sum(o[:15] == t[:15] for o in texts) > 1}
-    assert {int(i) for i, _ in levels.groups()} == want
+    texts = [bytes(r.integers(97, 100, 40, dtype=np.uint8)) for _ in range(200)]
+    texts += texts[:30]
+    levels, found = S.SuffixLevels(40), set()
+    for batch in batches(texts, 7):
+        for ids, lo, hi in levels.add(batch):
+            found |= {int(x) for x, a, b in zip(ids["a"], lo, hi) if (a, b) == (0, 40)}
+    assert found == {*range(30), *range(200, 230)}
+    sizes = [len(b) for b, _ in levels.levels]
+    assert sum(sizes) == 230 and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    for level, _ in levels.levels:
+        assert [t for t in level.texts] == sorted(level.texts)
+    lost = S.SuffixLevels(40)
+    for k, batch in enumerate(batches(texts, 115)):
+        lost.levels.clear()
+        assert not any(len(ids) for ids, _, _ in lost.add(batch)), k  # each half alone has no repeats
 
 
 def test_equal_stretches_have_equal_anchors():
     r = np.random.default_rng(3)
     shared = r.integers(97, 123, 500, dtype=np.uint8)
     a = np.concatenate([r.integers(97, 123, 333, dtype=np.uint8), shared, r.integers(97, 123, 77, dtype=np.uint8)])
-    offs = np.array([0, len(a)])
-    pos, _ = anchors(a, offs, 100, W.prefix(a))
-    inside = {int(p) - 333 for p in pos if 333 + 50 <= p <= 333 + 400}
-    alone, _ = anchors(shared, np.array([0, 500]), 100, W.prefix(shared))
-    assert inside <= set(alone.tolist()) and inside
+    there, alone = S.Anchors(a, np.array([0, len(a)]), 100), S.Anchors(shared, np.array([0, 500]), 100)
+    assert set(alone.hash.tolist()) <= set(there.hash.tolist())
+    for x, n in ((there, len(a)), (alone, 500)):  # each stretch has one anchor, which it holds
+        at = np.concatenate([np.arange(lo, hi + 1) for lo, hi in zip(x.lo, x.hi)])
+        assert sorted(at.tolist()) == list(range(n - 99)) and (x.hi <= x.pos).all() and (x.pos + 25 <= x.lo + 100).all()
+    flat = S.Anchors(np.full(100_000, 97, np.uint8), np.array([0, 100_000]), 100)
+    assert len(flat.pos) < 1500 and flat.twice.all()
