@@ -113,6 +113,7 @@ class Anchors:
             cols = [np.concatenate(x) for x in zip(*parts)]
             order = np.argsort(cols[0], kind="stable")
             self.pos, self.hash, self.lo, self.hi, self.twice = (x[order] for x in cols)
+            self.hash = W.mix(self.hash ^ U(0xA0761D6478BD642F))  # least hashes are small ones: spread them over the ranges
 
 
 def _keys(column: pa.Array) -> np.ndarray:
