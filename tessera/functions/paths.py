@@ -65,6 +65,17 @@ def chunk_file(idx: Column) -> Column:
     return F.format_string("encode/%04d.ivf", idx)
 
 
+def random_suffix(length: int) -> Column:
+    """Random hex digits; differs between runs."""
+    digits = F.replace(F.uuid(), F.lit("-"), F.lit(""))
+    return F.substring(F.concat(*[digits] * -(-length // 32)), 1, length)
+
+
+def temp_path(folder: Column, prefix: str, ending: str = "", length: int = 12) -> Column:
+    """A path for a temporary file, whose prefix ``stale`` files are found by."""
+    return F.concat(folder, F.lit(f"/{prefix}"), random_suffix(length), F.lit(ending))
+
+
 def work_folder(name: Column, root: Column, prefix: str = ".encode-") -> Column:
     """Working folder beside the outputs, named after the input's stem."""
     return F.concat(root, F.lit("/" + prefix), stem(name))

@@ -134,29 +134,50 @@ def next_chunk(ready: DataFrame, done: DataFrame) -> DataFrame:
     return near.groupBy("file_id").agg(F.count("*").alias("n_ready"), best["idx"].alias("next_idx"), F.min("dist").alias("dist"))
 
 
+def greedy_order(ready: list[int], done: list[int]) -> list[int]:
+    """``ready`` in the order of picks: nearest to a finished chunk, the lower on
+    ties, each pick finished for the next.  The nearest is always beside a
+    finished one, so a heap of such neighbours does: n log n."""
+    import heapq
+
+    at = sorted({*ready, *done})
+    place = {x: k for k, x in enumerate(at)}
+    left, right = list(range(-1, len(at) - 1)), list(range(1, len(at) + 1))  # unfinished neighbours; finished ones are linked out
+    heap: list[tuple[int, int]] = []
+
+    def finish(x: int) -> None:
+        k = place[x]
+        a, b = left[k], right[k]
+        if a >= 0:
+            right[a] = b
+            heapq.heappush(heap, (x - at[a], at[a]))
+        if b < len(at):
+            left[b] = a
+            heapq.heappush(heap, (at[b] - x, at[b]))
+
+    ended = set(done)
+    order: list[int] = []
+    for x in sorted(ended):
+        finish(x)
+    if not ended and at:
+        heap.append((0, at[0]))
+    while heap:
+        _, x = heapq.heappop(heap)
+        if x not in ended:
+            ended.add(x)
+            order.append(x)
+            finish(x)
+    return order
+
+
 def dispatch_order(ready: DataFrame, done: DataFrame) -> DataFrame:
     """The whole greedy order (file_id, turn, idx): each pick counts as done
-    for the next.  Picks depend on earlier ones, so a file is one group."""
+    for the next.  Picks depend on earlier ones, so a file's chunks, a few
+    thousand numbers at most, are ordered together."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import bisect
-
-        left = sorted(pdf.loc[~pdf.fin, "idx"].unique())
-        finished = sorted(pdf.loc[pdf.fin, "idx"].unique())
-        order = []
-        while left:
-            if not finished:
-                pick = left[0]
-            else:
-                def far(x):
-                    k = bisect.bisect_left(finished, x)
-                    return min(abs(x - f) for f in finished[max(0, k - 1) : k + 1])
-
-                pick = min(left, key=lambda x: (far(x), x))
-            order.append(pick)
-            left.remove(pick)
-            bisect.insort(finished, pick)
+        order = greedy_order(pdf.loc[~pdf.fin, "idx"].tolist(), pdf.loc[pdf.fin, "idx"].tolist())
         return pd.DataFrame({"file_id": pdf.file_id.iloc[0], "turn": range(len(order)), "idx": order})
 
     rows = ready.select("file_id", "idx", F.lit(False).alias("fin")).unionByName(done.select("file_id", "idx").withColumn("fin", F.lit(True)))

@@ -58,6 +58,56 @@ def depth_text(depth: Column, pixel_format: Column) -> Column:
     )
 
 
+def _tenths(value: Column) -> Column:
+    """One decimal, halves to even."""
+    t = F.rint(value * 10).cast("bigint")
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
+def _size(w: Column, h: Column) -> Column:
+    return F.concat_ws("x", w.cast("string"), h.cast("string"))
+
+
+def crop_text(expected_w: Column, expected_h: Column, actual_w: Column, actual_h: Column) -> Column:
+    got, want = _size(actual_w, actual_h), _size(expected_w, expected_h)
+    same = (expected_w == actual_w) & (expected_h == actual_h)
+    told = F.when(same, F.concat(F.lit("Dimensions match: "), got)).when(~same, F.concat(F.lit("Dimension mismatch: got "), got, F.lit(", expected "), want))
+    return F.coalesce(told, F.lit("No crop validation required"))
+
+
+def duration_text(expected: Column, actual: Column) -> Column:
+    gap = F.abs(actual - expected)
+    told = F.when(gap <= DURATION_SECS, F.concat(F.lit("Duration matches input ("), _tenths(actual), F.lit("s)"))).when(
+        gap > DURATION_SECS, F.concat(F.lit("Duration mismatch: got "), _tenths(actual), F.lit("s, expected "), _tenths(expected), F.lit("s (diff: "), _tenths(gap), F.lit("s)"))
+    )
+    return F.coalesce(told, F.lit("Duration validation skipped"))
+
+
+def audio_text(codecs: Column) -> Column:
+    low, n = F.transform(codecs, lambda x: F.lower(x)), F.size(codecs)
+    opus = F.forall(low, lambda x: x == AUDIO_CODEC)
+    count = F.concat(n.cast("string"), F.lit(" audio tracks"))
+    return (
+        F.when(codecs.isNull(), F.lit("Failed to get audio info")).when(n == 0, F.lit("No audio tracks"))
+        .when((n == 1) & opus, F.lit("Audio track is Opus")).when(n == 1, F.concat(F.lit("Audio track is "), F.try_element_at(low, F.lit(1)), F.lit(" (expected Opus)")))
+        .when(opus, F.concat(count, F.lit(", all Opus"))).otherwise(F.concat(count, F.lit(": "), F.array_join(low, ", ")))
+    )
+
+
+def sync_text(expected: Column, actual: Column) -> Column:
+    drift = F.abs(actual - expected) * 1000
+    told = F.when(drift <= SYNC_MS, F.concat(F.lit("Audio/video sync preserved (drift: "), _tenths(drift), F.lit("ms)"))).when(
+        drift > SYNC_MS, F.concat(F.lit("Audio/video sync drift too large: "), _tenths(drift), F.lit(f"ms (max: {SYNC_MS:.1f}ms)"))
+    )
+    return F.coalesce(told, F.lit("Sync validation skipped"))
+
+
+def join_facts(sources: DataFrame, outputs: DataFrame) -> DataFrame:
+    """One row of facts per output: what its source makes one expect beside what
+    the output is.  Both are keyed by file_id."""
+    return outputs.join(sources, "file_id")
+
+
 def validate(facts: DataFrame) -> DataFrame:
     """Verdicts from facts of output and source.
 
@@ -80,6 +130,11 @@ def validate(facts: DataFrame) -> DataFrame:
         F.coalesce(F.size("codecs") == c("expected_tracks"), F.lit(True)).alias("is_track_count_correct"),
         F.coalesce(gap * 1000 <= SYNC_MS, F.lit(True)).alias("is_sync_preserved"),
         hdr["message"].alias("hdr_message"),
+        F.array(
+            codec_text(c("codec"), codec_ok(c("codec"))), depth_text(depth, c("pixel_format") if "pixel_format" in facts.columns else F.lit("")),
+            crop_text(c("expected_w"), c("expected_h"), c("actual_w"), c("actual_h")), duration_text(c("expected_secs"), c("actual_secs")), hdr["message"],
+            audio_text(c("codecs")), sync_text(c("expected_secs"), c("actual_secs")),
+        ).alias("details"),
     )
 
 
@@ -93,15 +148,20 @@ def is_valid(results: DataFrame) -> DataFrame:
     return results.withColumn("is_valid", out)
 
 
-def steps(results: DataFrame) -> DataFrame:
-    """Seven rows per file; the audio step joins two verdicts."""
+def _steps(results: DataFrame) -> Column:
+    """Array of the seven steps; the audio step joins two verdicts."""
     passed = [F.col("is_av1"), F.col("is_10bit"), F.col("is_crop_correct"), F.col("is_duration_correct"), F.col("is_hdr_correct"), F.col("is_audio_opus") & F.col("is_track_count_correct"), F.col("is_sync_preserved")]
-    rows = F.array(*[F.struct(F.lit(i + 1).cast("bigint").alias("step"), F.lit(n).alias("name"), p.alias("passed")) for i, (n, p) in enumerate(zip(STEPS, passed))])
-    return results.select("file_id", F.inline(rows))
+    return F.array(*[F.struct(F.lit(i + 1).cast("bigint").alias("step"), F.lit(n).alias("name"), p.alias("passed"), F.col("details")[i].alias("details")) for i, (n, p) in enumerate(zip(STEPS, passed))])
+
+
+def steps(results: DataFrame) -> DataFrame:
+    """Seven rows per file: number, name, verdict and details."""
+    return results.select("file_id", F.inline(_steps(results)))
 
 
 def failures(results: DataFrame) -> DataFrame:
-    """Files with failed steps and their names in order."""
-    s = steps(results).where("not passed")
-    names = F.transform(F.array_sort(F.collect_list(F.struct("step", "name"))), lambda x: x["name"])
-    return s.groupBy("file_id").agg(F.count("*").alias("n_failed"), F.array_join(names, "; ").alias("failed"))
+    """Files with failed steps, and these as ``name: details`` in order; a row's
+    own steps tell, so there is no shuffle."""
+    failed = F.filter(_steps(results), lambda s: ~s["passed"])
+    texts = F.transform(failed, lambda s: F.concat(s["name"], F.lit(": "), s["details"]))
+    return results.select("file_id", F.size(failed).cast("bigint").alias("n_failed"), F.array_join(texts, "; ").alias("failed")).where("n_failed > 0")

@@ -12,6 +12,8 @@ UHD_BYTES, HD_BYTES, SD_BYTES = 5 * 1024**3, 2 * 1024**3, 512 * 1024**2
 USABLE = 0.7
 # fixed values: defaults of parallel encoding
 WORKERS, BUFFER = 24, 4
+# fixed value: megabytes that temporary files need
+LEAST_TEMP_MB = 100
 
 
 def memory_per_worker(width: Column, height: Column) -> Column:
@@ -47,6 +49,11 @@ def permits_for_memory(available: Column, need: Column, share: Column) -> Column
     return F.when((available == 0) | (usable < need), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(usable / need))).cast("bigint")
 
 
+def enough_space(available: Column) -> Column:
+    """Whether temporary files fit; unknown space (0) counts as enough."""
+    return (available == 0) | (F.floor(available / (1024 * 1024)) >= LEAST_TEMP_MB)
+
+
 def physical_cores(cpus):
     """Distinct (package, core) pairs per host; half the logical ones where the
     topology is unknown."""

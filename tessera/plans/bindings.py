@@ -159,7 +159,7 @@ FACTS = f"""facts AS (SELECT k AS file_id, ({_list(CODECS)})[CAST(k % {len(CODEC
  CASE WHEN k % 10 = 0 THEN CAST([] AS VARCHAR[]) WHEN k % 10 = 1 THEN ['opus', 'aac'] WHEN k % 10 = 2 THEN NULL ELSE ['Opus', 'opus'] END AS codecs, CASE WHEN k % 13 <> 0 THEN 2 END AS expected_tracks
  FROM (SELECT *, o_orderkey AS k FROM orders)),
  gaps AS (SELECT *, abs(actual_secs - expected_secs) AS gap, coalesce(depth_mediainfo, depth_probe, 10) AS depth FROM facts),
- results AS (SELECT file_id, codec, contains(lower(codec), 'av1') OR contains(lower(codec), 'av01') AS is_av1, depth >= 10 AS is_10bit, CAST(depth AS BIGINT) AS depth,
+ verdicts AS (SELECT file_id, codec, contains(lower(codec), 'av1') OR contains(lower(codec), 'av01') AS is_av1, depth >= 10 AS is_10bit, CAST(depth AS BIGINT) AS depth,
  expected_w = actual_w AND expected_h = actual_h AS is_crop_correct, gap <= 1.0 AS is_duration_correct,
  coalesce(expected_hdr = actual_hdr, actual_hdr IS NOT NULL) AS is_hdr_correct, coalesce(len(list_filter(codecs, lambda x: lower(x) <> 'opus')) = 0, true) AS is_audio_opus,
  coalesce(len(codecs) = expected_tracks, true) AS is_track_count_correct, gap * 1000 <= 100 AS is_sync_preserved,
@@ -167,4 +167,9 @@ FACTS = f"""facts AS (SELECT k AS file_id, ({_list(CODECS)})[CAST(k % {len(CODEC
  WHEN expected_hdr <> actual_hdr THEN CASE WHEN expected_hdr THEN 'Expected HDR, found SDR' ELSE 'Expected SDR, found HDR' END
  WHEN actual_hdr IS NOT NULL THEN CASE WHEN actual_hdr THEN 'Output is HDR' ELSE 'Output is SDR' END
  WHEN expected_hdr IS NOT NULL THEN CASE WHEN expected_hdr THEN 'Expected HDR, but could not detect HDR status' ELSE 'Expected SDR, but could not detect HDR status' END
- ELSE 'Could not detect HDR status' END AS hdr_message FROM gaps)"""
+ ELSE 'Could not detect HDR status' END AS hdr_message FROM gaps),
+ results AS (SELECT verdicts.*, [CASE WHEN is_av1 THEN concat('AV1 (', verdicts.codec, ')') WHEN verdicts.codec <> '' THEN concat('Expected AV1, got ', verdicts.codec) ELSE 'Unknown codec' END, concat(CAST(verdicts.depth AS VARCHAR), '-bit'),
+ CASE WHEN is_crop_correct THEN 'Dimensions match: ' || actual_w || 'x' || actual_h ELSE 'Dimension mismatch: got ' || actual_w || 'x' || actual_h || ', expected ' || expected_w || 'x' || expected_h END,
+ CASE WHEN is_duration_correct THEN printf('Duration matches input (%.1fs)', actual_secs) ELSE printf('Duration mismatch: got %.1fs, expected %.1fs (diff: %.1fs)', actual_secs, CAST(expected_secs AS DOUBLE), gap) END, hdr_message,
+ CASE WHEN codecs IS NULL THEN 'Failed to get audio info' WHEN len(codecs) = 0 THEN 'No audio tracks' WHEN is_audio_opus THEN len(codecs) || ' audio tracks, all Opus' ELSE len(codecs) || ' audio tracks: ' || lower(array_to_string(codecs, ', ')) END,
+ CASE WHEN is_sync_preserved THEN printf('Audio/video sync preserved (drift: %.1fms)', gap * 1000) ELSE printf('Audio/video sync drift too large: %.1fms (max: 100.0ms)', gap * 1000) END] AS details FROM verdicts JOIN gaps USING (file_id))"""

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import classify as cl, paths as pt, text as tx
-from ..operators import chunks as ch, config as cf, crop as cr, encoder as en, planes as pl, progress as pr, qc, resources as rs, summary as sm
+from ..operators import chunks as ch, config as cf, crop as cr, encoder as en, mux as mx, planes as pl, progress as pr, qc, resources as rs, summary as sm
+from ..session import shared_dir
 from ..sources import media
+from ..streaming import progress as st
 from . import bindings as b
 
 c, lit = F.col, F.lit
@@ -389,7 +391,7 @@ def qc_result(spark, d):
 
 
 _STEPS = f"""WITH {b.FACTS}, steps AS (SELECT file_id, CAST(i AS BIGINT) AS step, ({b._list(qc.STEPS)})[CAST(i AS INT)] AS name,
- ([is_av1, is_10bit, is_crop_correct, is_duration_correct, is_hdr_correct, is_audio_opus AND is_track_count_correct, is_sync_preserved])[CAST(i AS INT)] AS passed FROM results, (SELECT unnest(range(1, 8)) AS i))"""
+ ([is_av1, is_10bit, is_crop_correct, is_duration_correct, is_hdr_correct, is_audio_opus AND is_track_count_correct, is_sync_preserved])[CAST(i AS INT)] AS passed, details[CAST(i AS INT)] AS details FROM results, (SELECT unnest(range(1, 8)) AS i))"""
 
 
 @query(f"{_STEPS} SELECT * FROM steps")
@@ -397,7 +399,7 @@ def qc_steps(spark, d):
     return qc.steps(qc.validate(b.facts(spark, d)))
 
 
-@query(f"{_STEPS} SELECT file_id, count(*) AS n_failed, string_agg(name, '; ' ORDER BY step) AS failed FROM steps WHERE NOT passed GROUP BY 1")
+@query(f"{_STEPS} SELECT file_id, count(*) AS n_failed, string_agg(name || ': ' || details, '; ' ORDER BY step) AS failed FROM steps WHERE NOT passed GROUP BY 1")
 def qc_failures(spark, d):
     return qc.failures(qc.validate(b.facts(spark, d)))
 
@@ -481,7 +483,11 @@ def next_chunk(spark, d):
     return ch.next_chunk(ch.remaining(_chunks(spark, d), done), done)
 
 
-@query()
+@query(f"""{_DONE.replace("WITH ", "WITH RECURSIVE ", 1)}, ready AS (SELECT file_id, idx FROM chunks WHERE (file_id, idx) NOT IN (SELECT file_id, idx FROM done)),
+ began AS (SELECT r.file_id, r.l AS rest, coalesce(d.l, []) AS fin FROM (SELECT file_id, list(idx) AS l FROM ready GROUP BY 1) r LEFT JOIN (SELECT file_id, list(DISTINCT idx) AS l FROM done GROUP BY 1) d ON r.file_id = d.file_id),
+ picks AS (SELECT file_id, CAST(-1 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS idx, rest, fin FROM began
+ UNION ALL SELECT file_id, turn + 1, pick, list_filter(rest, lambda x: x <> pick), list_append(fin, pick) FROM (SELECT *, (list_sort(list_transform(rest, lambda x: {{'d': coalesce(list_min(list_transform(fin, lambda f: abs(x - f))), 0), 'i': x}}))[1]).i AS pick FROM picks WHERE len(rest) > 0))
+ SELECT file_id, turn, idx FROM picks WHERE turn >= 0""")
 def dispatch_order(spark, d):
     done = _done(spark, d)
     return ch.dispatch_order(ch.remaining(_chunks(spark, d), done), done)
@@ -540,3 +546,131 @@ _TYPES = ("encoding_progress", "warning", "stage_progress", "validation_complete
 def event_projection(spark, d):
     e = pr.running(b.progress(spark, d)).withColumn("type", b._dealt(_TYPES, c("ord"))).withColumn("message", c("event_type")).withColumn("passed", c("size") % 2 == 0)
     return pr.project_public(e)
+
+
+@query(f"""{_STREAMS} SELECT file_id, concat('-hide_banner -i /in/', file_id, '.mkv -vn -map_metadata 0 ', string_agg(concat('-map 0:a:', i, ' -c:a:', i, ' libopus -b:a:', i, ' ', kbps, 'k -filter:a:', i, ' aformat=channel_layouts=7.1|5.1|stereo|mono'), ' ' ORDER BY i), ' -y /work/', file_id, '/audio.mka') AS args FROM kept GROUP BY 1""")
+def audio_extract_args(spark, d):
+    name = c("file_id").cast("string")
+    return _streams(spark, d).select("file_id", F.array_join(mx.audio_arguments(F.concat(lit("/in/"), name, lit(".mkv")), F.concat(lit("/work/"), name), c("s")), " ").alias("args"))
+
+
+@query("""SELECT o_orderkey AS file_id, concat('-hide_banner -i /work/', o_orderkey, '/video.mkv ', CASE WHEN o_custkey % 2 = 0 THEN concat('-i /work/', o_orderkey, '/audio.mka ') ELSE '' END, '-i /in/', o_orderkey, '.mkv -map 0:v:0 ',
+ CASE WHEN o_custkey % 2 = 0 THEN '-map 1:a? -map 2:s? -c copy -map_metadata 0 -map_chapters 2' ELSE '-map 1:s? -c copy -map_metadata 0 -map_chapters 1' END, ' -movflags +faststart -y /out/', o_orderkey, '.mkv') AS args FROM orders""")
+def mux_args(spark, d):
+    name = c("o_orderkey").cast("string")
+    path = lambda top, end="": F.concat(lit(f"/{top}/"), name, lit(end))
+    args = mx.mux_arguments(path("in", ".mkv"), path("work"), path("out", ".mkv"), c("o_custkey") % 2 == 0)
+    return b.read(spark, d, "orders").select(c("o_orderkey").alias("file_id"), F.array_join(args, " ").alias("args"))
+
+
+@query(f"""{_CH}, n AS (SELECT file_id, count(*) AS n FROM chunks WHERE file_id % 5 <> 0 GROUP BY 1), v AS (SELECT file_id, fps_num, CASE WHEN file_id % 7 = 0 THEN 0 ELSE fps_den END AS fps_den, coalesce(n, 0) AS n_files FROM video LEFT JOIN n USING (file_id))
+ SELECT file_id, n_files, CASE WHEN fps_den <> 0 AND n_files > 0 THEN concat('-hide_banner -f concat -safe 0 -i /work/', file_id, '/concat.txt -c copy -r ', printf('%.6f', fps_num::DOUBLE / fps_den::DOUBLE),
+ ' -fflags +genpts+igndts+discardcorrupt+bitexact -avoid_negative_ts make_zero -reset_timestamps 1 -start_at_zero -y /work/', file_id, '/video.mkv') END AS args,
+ CASE WHEN fps_den = 0 THEN 'invalid video info: FPS denominator is 0' WHEN n_files = 0 THEN concat('no IVF files found in /work/', file_id, '/encode') END AS error FROM v""")
+def join_plan(spark, d):
+    v = b.video(spark, d).select("file_id", F.concat(lit("/work/"), c("file_id").cast("string")).alias("folder"), "fps_num", F.when(c("file_id") % 7 == 0, lit(0)).otherwise(c("fps_den")).alias("fps_den"))
+    out = mx.plan_joins(v, _chunks(spark, d).where("file_id % 5 <> 0").select("file_id", "idx"))
+    return out.select("file_id", "n_files", F.array_join("args", " ").alias("args"), "error")
+
+
+@query(f"WITH {b.FACTS} SELECT * FROM results")
+def qc_joined(spark, d):
+    f = b.facts(spark, d)
+    expected = ("expected_w", "expected_h", "expected_secs", "expected_hdr", "expected_tracks")
+    return qc.validate(qc.join_facts(f.select("file_id", *expected), f.drop(*expected)))
+
+
+@query(f"""WITH {b.SIZES}, r AS (SELECT *, file_id // 6 AS batch FROM sizes WHERE file_id % 12 NOT IN (0, 1, 2, 3, 4) AND file_id % 36 > 5), bt AS (SELECT DISTINCT file_id // 6 AS batch FROM sizes),
+ s AS (SELECT batch, count(*) AS n, CAST(sum(in_size) AS BIGINT) AS i, CAST(sum(out_size) AS BIGINT) AS o, min(concat('f', file_id, '.mkv')) AS one FROM r GROUP BY 1), t AS (SELECT bt.batch, coalesce(n, 0) AS n, i, o, one FROM bt LEFT JOIN s USING (batch))
+ SELECT batch, file_id, 'validation_complete' AS type, CAST(1 AS BIGINT) AS turn, passed, CAST(NULL AS BIGINT) AS size, CAST(NULL AS DOUBLE) AS reduction, CAST(NULL AS VARCHAR) AS message, CAST(NULL AS BIGINT) AS n_files FROM r
+ UNION ALL SELECT batch, file_id, 'encoding_complete', 2, NULL, out_size, CASE WHEN in_size = 0 THEN 0.0 ELSE (in_size - out_size)::DOUBLE / in_size::DOUBLE * 100 END, concat('f', file_id, '.mkv'), NULL FROM r
+ UNION ALL SELECT batch, NULL, CASE n WHEN 0 THEN 'warning' WHEN 1 THEN 'operation_complete' ELSE 'batch_complete' END, 3, NULL, CASE WHEN n > 1 THEN o END, CASE WHEN n > 1 THEN CASE WHEN i = 0 THEN 0.0 ELSE (i - o)::DOUBLE / i::DOUBLE * 100 END END,
+ CASE n WHEN 0 THEN 'No files were successfully encoded' WHEN 1 THEN concat('Successfully encoded ', one) END, n FROM t""")
+def outcome_events(spark, d):
+    s = b.sizes(spark, d).withColumn("batch", F.floor(c("file_id") / 6).cast("bigint"))
+    r = s.where("file_id % 12 not in (0, 1, 2, 3, 4) and file_id % 36 > 5").withColumn("filename", F.concat(lit("f"), c("file_id").cast("string"), lit(".mkv")))
+    return sm.outcome_events(r, s)
+
+
+@query("SELECT l_orderkey AS file_id, list(l_linenumber ORDER BY l_linenumber, l_suppkey, l_partkey) FILTER (l_linenumber % 3 <> 0) AS channels FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_linenumber % 3 <> 0) > 0")
+def mediainfo_channels(spark, d):
+    text = F.when(c("l_linenumber") % 3 == 0, lit("n/a")).otherwise(c("l_linenumber").cast("string"))
+    track = F.struct(lit("Audio").alias("@type"), text.alias("Channels"))
+    per = b.read(spark, d, "lineitem").groupBy(c("l_orderkey").alias("file_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", track.alias("t")))), lambda x: x["t"]).alias("track"))
+    docs = media.parse_mediainfo(per.select("file_id", F.to_json(F.struct(F.struct("track").alias("media"))).alias("json")))
+    return media.mediainfo_channels(docs).where(F.size("channels") > 0)
+
+
+#: fixed values: crop texts that the query deals out, with what each is worth
+_CROPS = ("1920:800:0:140", "1920:1080:0:0", "1920:800:0", "a:800:0:140", "4294967296:800:0:140", "1920:800:0:140:5", "1280:720:x:2", "")
+
+
+@query(f"""WITH t AS (SELECT event_id AS file_id, ({b._list(_CROPS)})[CAST(event_id % 8 + 1 AS INT)] AS crop FROM events), p AS (SELECT *, list_transform(string_split(crop, ':'), lambda x: TRY_CAST(x AS BIGINT)) AS n FROM t),
+ k AS (SELECT *, n[1] IS NOT NULL AND n[2] IS NOT NULL AS sized, n[3] IS NOT NULL AND n[4] IS NOT NULL AS placed FROM p)
+ SELECT file_id, crop, len(n) = 4 AND len(list_filter(n, lambda x: x BETWEEN 0 AND 4294967295)) = 4 AS valid, CASE WHEN sized THEN n[1] <> 1920 OR n[2] <> 1080 ELSE true END AS effective,
+ CASE WHEN placed THEN n[3] ELSE 0 END AS crop_h, CASE WHEN placed THEN n[4] ELSE 0 END AS crop_v, CASE WHEN sized THEN n[1] ELSE 1920 END AS expected_w, CASE WHEN sized THEN n[2] ELSE 1080 END AS expected_h,
+ 1920 - 2 * CASE WHEN placed THEN n[3] ELSE 0 END AS encoded_w, 1080 - 2 * CASE WHEN placed THEN n[4] ELSE 0 END AS encoded_h FROM k""")
+def crop_check(spark, d):
+    return cr.dimensions(b.read(spark, d, "events").select(c("event_id").alias("file_id"), b._dealt(_CROPS, c("event_id")).alias("crop"), lit(1920).alias("width"), lit(1080).alias("height")))
+
+
+@query("SELECT o_orderkey AS file_id, o_custkey % 300 * 1048576 + o_custkey % 2 = 0 OR (o_custkey % 300 * 1048576 + o_custkey % 2) // 1048576 >= 100 AS enough FROM orders")
+def temp_space(spark, d):
+    o = b.read(spark, d, "orders")
+    return o.select(c("o_orderkey").alias("file_id"), rs.enough_space(c("o_custkey") % 300 * 1048576 + c("o_custkey") % 2).alias("enough"))
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(n AS BIGINT) AS frame FROM (SELECT DISTINCT o_custkey * 7 AS n FROM orders)")
+def boundary_sink(spark, d):
+    path = _fresh(spark, "boundaries")
+    media.write_boundaries(b.read(spark, d, "orders").select((c("o_custkey") * 7).alias("frame")).distinct(), path)
+    media.write_boundaries(spark.range(3).select(c("id").alias("frame")), path)  # what is there stays
+    return media.parse_boundaries(media.read_lines(spark, path))
+
+
+@query(f"{_DONE} SELECT idx, frames, size FROM done")
+def resume_sink(spark, d):
+    path, done = _fresh(spark, "resume"), _done(spark, d)
+    for k in range(2):
+        media.append_resume(done.where(c("size") % 2 == k), path)
+    return media.parse_resume(media.read_lines(spark, path))
+
+
+def _event_stream(spark, d) -> DataFrame:
+    """The events as a stream of files in the shared folder."""
+    path = _fresh(spark, "events")
+    b.progress(spark, d).select("file_id", "ord", c("ts").cast("timestamp").alias("ts"), "frames", "size").repartition(3).write.parquet(path)
+    return st.read_events(spark, path)
+
+
+def _ran(stream: DataFrame, mode: str) -> DataFrame:
+    name = "t" + _fresh(stream.sparkSession, "")[-32:]
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", _fresh(stream.sparkSession, "stream")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+@query(f"WITH {b.PROGRESS} SELECT file_id, count(*) AS chunks_complete, CAST(sum(frames) AS BIGINT) AS frames_complete, CAST(sum(size) AS BIGINT) AS bytes_complete FROM progress GROUP BY 1")
+def stream_totals(spark, d):
+    return _ran(st.totals(_event_stream(spark, d)), "complete")
+
+
+@query("SELECT user_id AS file_id, CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS start, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS frames, CAST(sum(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) AS BIGINT) AS bytes FROM events GROUP BY 1, 2")
+def stream_windows(spark, d):
+    return _ran(st.throughput(_event_stream(spark, d)), "complete").select("file_id", F.unix_timestamp("window.start").alias("start"), "frames", "bytes")
+
+
+@query(f"WITH {b.PROGRESS} SELECT file_id, count(*) AS chunks_complete, CAST(sum(frames) AS BIGINT) AS frames_complete, CAST(sum(size) AS BIGINT) AS bytes_complete FROM progress GROUP BY 1")
+def stream_state(spark, d):
+    """The last state of each file from keyed counters, kept by a sink."""
+    path = _fresh(spark, "state")
+    q = st.fan_out(st.collect_results(_event_stream(spark, d)), [lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/{epoch}")], _fresh(spark, "stream"), strict=True)
+    q.awaitTermination()
+    seen = spark.read.option("recursiveFileLookup", "true").schema(st.OUT_SCHEMA).parquet(path)
+    return seen.groupBy("file_id").agg(*[F.max(k).alias(k) for k in ("chunks_complete", "frames_complete", "bytes_complete")])

@@ -31,6 +31,27 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
     return spark
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir or
+    the context's checkpoint folder.  Where neither is set, a temporary one in
+    local mode; on a cluster that would be another folder on each machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if kept.isDefined():
+        return kept.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return _FOLDERS[app]
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python
     operators can be imported there wherever the driver was started."""

@@ -23,10 +23,15 @@ MEDIAINFO = (
 
 
 def find_videos(files: DataFrame) -> DataFrame:
-    """Visible video files of a listing (path, length), by lower-cased name."""
+    """Visible video files of a listing (path, length), in no order."""
     name = base_name(F.col("path"))
     out = files.withColumn("name", name).where(is_visible(F.col("name")) & is_video(F.col("name")))
-    return out.select("path", "name", stem(F.col("name")).alias("stem"), F.lower(extension(F.col("name"))).alias("ext"), "length").orderBy(F.lower("name"), "path")
+    return out.select("path", "name", stem(F.col("name")).alias("stem"), F.lower(extension(F.col("name"))).alias("ext"), "length")
+
+
+def in_order(videos: DataFrame) -> DataFrame:
+    """Videos by lower-cased name, for who shows or runs them in turn."""
+    return videos.orderBy(F.lower("name"), "path")
 
 
 def list_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +45,7 @@ def list_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def find_videos_in(spark: SparkSession, folder: str) -> DataFrame:
-    out = find_videos(list_folder(spark, folder))
+    out = in_order(find_videos(list_folder(spark, folder)))
     if out.isEmpty():
         raise ValueError(f"no video files in {folder}")
     return out
@@ -64,6 +69,13 @@ def parse_mediainfo(raw: DataFrame) -> DataFrame:
     return doc.select("file_id", F.filter(F.col("d.media.track"), lambda t: t["@type"] == "Video").alias("video"), F.filter(F.col("d.media.track"), lambda t: t["@type"] == "Audio").alias("audio"))
 
 
+def mediainfo_channels(docs: DataFrame) -> DataFrame:
+    """(file_id, channels): channel counts of the audio tracks that tell one, in
+    track order; needs the columns of ``parse_mediainfo``."""
+    told = F.transform(F.col("audio"), lambda t: F.when(t["Channels"].rlike(r"^\d+$"), t["Channels"].try_cast("bigint")))
+    return docs.select("file_id", F.filter(told, lambda n: n.isNotNull() & (n <= 2**32 - 1)).alias("channels"))
+
+
 def streams_of(doc: Column, kind: str) -> Column:
     return F.filter(doc["streams"], lambda s: s["codec_type"] == kind)
 
@@ -122,6 +134,33 @@ def write_list(batches: DataFrame, path: str) -> None:
     batches.select("list_text").write.mode("overwrite").text(path)
 
 
+def work_folder_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def make_work_folder(spark: SparkSession, path: str) -> None:
+    """A work folder with its place for chunks."""
+    fs, p = _fs(spark, f"{path}/encode")
+    fs.mkdirs(p)
+
+
+def remove_work_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def free_space(spark: SparkSession, path: str) -> int:
+    """Bytes free where ``path`` is; 0 where that cannot be told."""
+    fs, p = _fs(spark, path)
+    return max(0, fs.getStatus(p).getRemaining())
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def ordered_union(parts: list[DataFrame]) -> DataFrame:
     """Rows of all parts, by part and their own order (column ord)."""
     out = None

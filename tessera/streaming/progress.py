@@ -42,9 +42,13 @@ def throughput(events: DataFrame, late: str = "10 minutes", width: str = "5 minu
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "file_id").agg(F.sum("frames").alias("frames"), F.sum("size").alias("bytes"))
 
 
-def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, mode: str = "update", **trigger):
-    """Start one query that hands each micro-batch to every sink; what a sink
-    raises is its own matter and stops neither the others nor the query."""
+def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, mode: str = "update", strict: bool = False, **trigger):
+    """Start one query that hands each micro-batch to every sink.
+
+    What a sink raises never stops the others.  By default it does not stop the
+    query either, and is kept in ``sink_errors``: that sink has lost the batch.
+    With ``strict`` the query fails after all sinks had the batch, and hands it
+    out again when it is restarted, so sinks must bear a batch twice."""
     errors: list[tuple[int, Exception]] = []
 
     def each(batch: DataFrame, epoch: int) -> None:
@@ -57,6 +61,8 @@ def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], ch
                     errors.append((epoch, e))
         finally:
             batch.unpersist()
+        if strict and errors:
+            raise errors[-1][1]
 
     query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     query.sink_errors = errors

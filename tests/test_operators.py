@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import classify as cl, paths as pt, text as tx
-from tessera.operators import chunks as ch, config as cf, crop as cr, encoder as en, planes as pl, qc, resources as rs, summary as sm
+from tessera.operators import chunks as ch, config as cf, crop as cr, encoder as en, mux as mx, planes as pl, qc, resources as rs, summary as sm
 from tessera.sources import media
 
 c = F.col
@@ -68,6 +68,23 @@ def test_dispatch_order_takes_each_once(spark):
     assert got == [0, 1, 2]
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_greedy_order_is_that_of_plain_picks(seed):
+    rnd = random.Random(seed)
+    every = rnd.sample(range(200), rnd.randint(0, 60))
+    cut = rnd.choice([0, len(every) // 4, len(every)])
+    done, ready = every[:cut], every[cut:]
+    order, left, ended = [], sorted(ready), list(done)
+    while left:
+        pick = min(left, key=lambda x: (min((abs(x - f) for f in ended), default=0), x))
+        order.append(pick), left.remove(pick), ended.append(pick)
+    assert ch.greedy_order(ready, done) == order
+
+
+def test_greedy_order_of_many_chunks():
+    assert len(ch.greedy_order(list(range(1, 200_000, 2)), [0, 99_999])) == 99_999
+
+
 @pytest.mark.parametrize("n, want", [(500, 1), (501, 2)])
 def test_merge_batches(spark, n, want):
     k = spark.range(n).select(F.lit(1).alias("file_id"), c("id").alias("idx"))
@@ -188,3 +205,36 @@ def test_encoder_options_vanish(spark):
     args = en.arguments(*map(F.lit, (10, 20, 24, 1, 5, 27, 6, 0)), F.lit("o"), threads=F.lit(0), primaries=n, ac_bias=F.lit(0.0))
     got = one(spark, args.alias("a")).a
     assert "--lp" not in got and "--color-primaries" not in got and "--ac-bias" not in got and got[-2:] == ["-b", "o"] and got[got.index("--keyint") + 1] == "240"
+
+
+def test_audio_and_mux_arguments(spark):
+    streams = F.array(F.struct(F.lit(0).alias("idx"), F.lit(6).alias("channels")), F.struct(F.lit(2).alias("idx"), F.lit(3).alias("channels")))
+    none = F.filter(streams, lambda s: F.lit(False))
+    got = one(spark, mx.audio_arguments(F.lit("in"), F.lit("w"), streams).alias("a"), mx.audio_arguments(F.lit("in"), F.lit("w"), none).alias("n"), *[mx.mux_arguments(F.lit("in"), F.lit("w"), F.lit("o"), F.lit(x)).alias(f"m{x}") for x in (True, False)])
+    assert got.n is None and got.a[got.a.index("-map") :][:8] == ["-map", "0:a:0", "-c:a:0", "libopus", "-b:a:0", "256k", "-filter:a:0", "aformat=channel_layouts=7.1|5.1|stereo|mono"] and "0:a:2" in got.a and got.a[got.a.index("-b:a:1") + 1] == "144k"
+    for args, has in ((got.mTrue, True), (got.mFalse, False)):
+        assert ("w/audio.mka" in args) is has and ("1:a?" in args) is has and args[args.index("-map_chapters") + 1] == ("2" if has else "1") and args[-1] == "o"
+
+
+def test_join_errors(spark):
+    v = spark.createDataFrame([(1, "w", 24, 0), (2, "w", 24, 1), (3, "w", 24, 1)], "file_id long, folder string, fps_num long, fps_den long")
+    got = {r.file_id: r for r in mx.plan_joins(v, spark.createDataFrame([(1, 0), (3, 0), (3, 1)], "file_id long, idx long")).collect()}
+    assert "denominator" in got[1].error and "no IVF files" in got[2].error and got[3].error is None and got[3].n_files == 2 and "24.000000" in got[3].args and got[1].args is None
+
+
+def test_outcomes_of_no_one_and_two_results(spark):
+    r = spark.createDataFrame([(1, 1, "a", True, 100, 50), (2, 2, "b", False, 10, 5), (2, 3, "c", True, 30, 15)], "batch long, file_id long, filename string, passed boolean, in_size long, out_size long")
+    got = sm.outcome_events(r, spark.createDataFrame([(0,), (1,), (2,), (2,)], "batch long")).where("turn = 3").orderBy("batch").collect()
+    assert [(x.type, x.message, x.n_files, x.reduction) for x in got] == [("warning", "No files were successfully encoded", 0, None), ("operation_complete", "Successfully encoded a", 1, None), ("batch_complete", None, 2, 50.0)]
+
+
+def test_work_folders_and_temporary_names(spark, tmp_path):
+    w = f"file://{tmp_path}/w"
+    assert not media.work_folder_exists(spark, w)
+    media.make_work_folder(spark, w)
+    assert media.work_folder_exists(spark, w + "/encode") and media.free_space(spark, w) > 0
+    media.remove_work_folder(spark, w)
+    assert not media.work_folder_exists(spark, w)
+    names = {r.p for r in spark.range(50).select(pt.temp_path(F.lit("/t"), "x-", ".tmp", 40).alias("p")).collect()}
+    assert len(names) == 50 and all(n.startswith("/t/x-") and len(n) == 49 for n in names)
+    assert tuple(one(spark, *[rs.enough_space(F.lit(n)).alias(f"s{i}") for i, n in enumerate((0, 1, 100 * 2**20, 100 * 2**20 - 1))])) == (True, False, True, False)

@@ -1,9 +1,11 @@
 """Streams against the batch operators on the same rows."""
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tessera.plans import bindings
-from tessera.streaming import progress as st
+from tessera.streaming import progress as st, reporters as rp
 
 
 def _feed(spark, sf_dir, folder, parts=3):
@@ -31,6 +33,38 @@ def test_state_and_fan_out(spark, sf_dir, tmp_path):
     assert seen == want and len(other) == len(q.sink_errors) >= 3
 
 
+def test_strict_fan_out_fails_after_all_sinks(spark, sf_dir, tmp_path):
+    src, other = str(tmp_path / "in"), []
+    _feed(spark, sf_dir, src, 1)
+
+    def broken(batch, epoch):
+        raise RuntimeError("told")
+
+    q = st.fan_out(st.totals(st.read_events(spark, src)), [broken, lambda b, e: other.append(e)], str(tmp_path / "cp"), "complete", strict=True)
+    with pytest.raises(StreamingQueryException):
+        q.awaitTermination(120)
+    assert other == [0]
+
+
+def test_reporters(spark):
+    seen, public = [], []
+
+    class Keep(rp.Reporter):
+        def verbose(self, event):
+            seen.append(event.ord)
+
+    def handler(event):
+        public.append(event.ord)
+        raise ValueError("dropped")
+
+    types = [*rp.EVENT_TYPES, "unheard_of"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(types)], "ord long, type string").repartition(3)
+    rp.sink(rp.Fan(rp.Reporter(), Keep(), rp.Handler(handler)))(df, 0)
+    assert [types[i] for i in seen] == ["verbose"]
+    assert {types[i] for i in public} == {"encoding_progress", "validation_complete", "encoding_complete", "warning", "error", "batch_complete"} and public == sorted(public)
+    assert all(callable(getattr(rp.Reporter, t)) for t in rp.EVENT_TYPES) and len(rp.EVENT_TYPES) == 16
+
+
 def test_windows_match_batch(spark, sf_dir, tmp_path):
     src = str(tmp_path / "in")
     p = _feed(spark, sf_dir, src, 1)
