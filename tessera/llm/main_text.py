@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import ship
+
 #: fixed values: elements that begin and end a block
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul button".split()
@@ -497,5 +499,6 @@ def main_text(pages: DataFrame, model: BlockLabeller | None = None, id_col: str
     URLs pass through; broken markup and missing end tags are read as browsers
     do in the main; very long pages are read whole.  Other columns are ignored.
     """
+    ship(pages.sparkSession)
     slim = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return slim.mapInArrow(_run(model or trained()), "page_id bigint, url string, text string, n_chars bigint")

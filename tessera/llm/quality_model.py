@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import words as W
+from ..session import ship
 
 PASSAGE = 64
 WORD_BUCKETS = 32
@@ -159,6 +160,7 @@ def _encode(batches):
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> GatedAttention:
     """Fit on at most ``max_train`` labelled documents outside the held-out fold."""
+    ship(docs.sparkSession)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     marks = marks.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = marks.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(max_train)
@@ -193,6 +195,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, cut: float = 0.7, max_trai
     scored whole.  Other columns are ignored.
     """
     model = model or train(docs, labels, max_train, id_col, text_col, label_col)
+    ship(docs.sparkSession)
     scored = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(model), "doc_id bigint, score double")
     return scored.select(
         "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "score",
@@ -216,6 +219,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, cut: float = 0.7, max_tra
     its score, so null and repeated ids need no care.
     """
     model = model or train(docs, labels, max_train, id_col, text_col, label_col)
+    ship(docs.sparkSession)
     rest = [c for c in docs.columns if c != text_col]
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).alias("text"))
     schema = T.StructType([source.schema["row"], T.StructField("text", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -1,57 +1,77 @@
 """Shared storage for intermediate tables.
 
 Lineage is cut by writing Parquet into the folder that ``spark.checkpoint.dir``
-names (shared by driver and executors).  Only where a session has no such
-setting (tests, notebooks in local mode) is a temporary folder used.
+names, or else the context's checkpoint folder; on a cluster one of them has to
+be set.  What an operator has written goes when its application ends.
 """
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_dir, ship
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_LOCAL: dict[str, str] = {}
+_lock = threading.Lock()
+_writing: dict[str, list] = {}
+
+
+class _freed:
+    """While any table is written, finished queries free their shuffles; after
+    the last one the session has its own setting again."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.key = spark, str(id(spark))
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh temporary one only if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return _LOCAL[app]
+    def __enter__(self) -> None:
+        with _lock:
+            held = _writing.setdefault(self.key, [0, self.spark.conf.get(_CLEANUP)])
+            held[0] += 1
+            if held[0] == 1:
+                held[1] = self.spark.conf.get(_CLEANUP)
+                self.spark.conf.set(_CLEANUP, "true")
+
+    def __exit__(self, *what) -> None:
+        with _lock:
+            held = _writing[self.key]
+            held[0] -= 1
+            if not held[0]:
+                self.spark.conf.set(_CLEANUP, held[1])
 
 
 class Scratch:
-    """Named intermediate tables of one operator call."""
+    """Named intermediate tables of one operator call.  ``lasting`` ones stay
+    when the application ends."""
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, lasting: bool = False):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        ship(spark)
+        if not lasting:
+            fs, path = self._at(self.root)
+            fs.mkdirs(path)
+            fs.deleteOnExit(path)
+
+    def _at(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return a reader of the written table."""
+        """Write ``df`` once and return a reader of the written table, which
+        replaces the shuffles that made it."""
         path = f"{self.root}/{name}"
-        before = self.spark.conf.get(_CLEANUP)
-        self.spark.conf.set(_CLEANUP, "true")  # the table replaces its shuffles
-        try:
+        with _freed(self.spark):
             df.write.option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete tables that later tables no longer need."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            fs, path = self._at(f"{self.root}/{name}")
+            fs.delete(path, True)
 
 
 def plan_bytes(df: DataFrame) -> int:

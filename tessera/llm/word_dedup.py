@@ -31,9 +31,18 @@ from .store import Scratch
 U = np.uint64
 FLUSH = 1 << 21
 HOT = 64
+#: a row: its id and a hash of its text, as rows may share an id
+ROW = np.dtype([("id", np.int64), ("h", np.int64)])
 _NIL = hashlib.sha256(b"").hexdigest()
 
 
+def _rows(part: pa.RecordBatch) -> np.ndarray:
+    """Row keys of a batch whose last column is the hash."""
+    out = np.empty(part.num_rows, ROW)
+    out["id"], out["h"] = part.column(0).to_numpy(zero_copy_only=False), part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)
+    return out
+
+
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -51,11 +60,11 @@ def _probe(block: int, bits: int):
         woffs = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(counts, out=woffs[1:])
         whole = np.frombuffer(b"".join(shas), U).reshape(-1, 4)
-        lead = B.fold(ids, *whole.T)
+        lead = B.fold(ids["id"], *whole.T)
         rows = []
         for a in range(0, len(ids), 4096):
             z = slice(a, a + 4096)
-            rows.append((span + int(ids[a] % 1024), ids[z].tobytes(), counts[z].tobytes() + ids[lead[z]].tobytes() + b"".join(shas[z])))
+            rows.append((span + int(ids["id"][a] % 1024), ids[z].tobytes(), counts[z].tobytes() + ids["id"][lead[z]].tobytes() + b"".join(shas[z])))
         h = W.window_hashes(words, block)
         doc = W.doc_of(woffs)
         at = _starts(h, doc, block)
@@ -73,7 +82,7 @@ def _probe(block: int, bits: int):
             hot = np.repeat(length > HOT, length)
             if hot.any():
                 mine, (hits,) = _per_doc(ids[doc[hot]], B.short(h[hot], bits))
-                rows += [(-1 - int(i % 1024), i.tobytes(), x) for i, x in zip(mine, hits)]
+                rows += [(-1 - int(i["id"] % 1024), i.tobytes(), x) for i, x in zip(mine, hits)]
                 any_block = np.repeat(np.logical_or.reduceat(isblock, start), length)
                 stay = ~hot
                 stay[start] = True
@@ -87,7 +96,7 @@ def _probe(block: int, bits: int):
         for part, data, offs in W.slices(batches):
             s, e, woffs = W.spans(data, offs)
             raw = data.tobytes()
-            held[0].append(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            held[0].append(_rows(part))
             held[1].append(W.word_hashes(data, s, e))
             held[2].append(np.diff(woffs))
             held[3].extend(hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()))
@@ -101,19 +110,19 @@ def _probe(block: int, bits: int):
     return run
 
 
-_HITS = "doc_id bigint, n_words bigint, rep bigint, sha binary, hits binary"
+_HITS = "doc_id bigint, h bigint, n_words bigint, rep bigint, sha binary, hits binary"
 
 
-def _hits_table(doc=(), n=None, rep=None, sha=None, hits=None) -> pa.Table:
+def _hits_table(doc=np.zeros(0, ROW), n=None, rep=None, sha=None, hits=None) -> pa.Table:
     k = len(doc)
     null = lambda x, t: pa.nulls(k, t) if x is None else pa.array(x, t)
-    return pa.table({"doc_id": pa.array(doc, pa.int64()), "n_words": null(n, pa.int64()), "rep": null(rep, pa.int64()), "sha": null(sha, pa.binary()), "hits": null(hits, pa.binary())})
+    return pa.table({"doc_id": pa.array(doc["id"], pa.int64()), "h": pa.array(doc["h"], pa.int64()), "n_words": null(n, pa.int64()), "rep": null(rep, pa.int64()), "sha": null(sha, pa.binary()), "hits": null(hits, pa.binary())})
 
 
 def _per_doc(ids: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
-    order = np.argsort(ids, kind="stable")
+    order = np.lexsort((ids["h"], ids["id"]))
     ids = ids[order]
-    start, length = W.runs(ids)
+    start, length = _runs2(ids["id"], ids["h"])
     return ids[start], [[v[a : a + m].tobytes() for a, m in zip(start, length)] for v in (x[order] for x in values)]
 
 
@@ -123,18 +132,18 @@ def _meet(bits: int):
     def run(key, table):
         r = key[0].as_py()
         if r < 0:
-            ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
+            ids = np.concatenate([np.frombuffer(x, ROW) for x in table.column("ids").to_pylist()])
             return _hits_table(ids, hits=table.column("body").to_pylist())
         if r >= span:
             out = ([], [], [], [])
             for i, b in zip(table.column("ids").to_pylist(), table.column("body").to_pylist()):
-                k = len(i) // 8
-                out[0].append(np.frombuffer(i, np.int64))
+                k = len(i) // 16
+                out[0].append(np.frombuffer(i, ROW))
                 out[1].append(np.frombuffer(b, np.int64, k))
                 out[2].append(np.frombuffer(b, np.int64, k, 8 * k))
                 out[3].extend(b[16 * k + 32 * j : 16 * k + 32 * j + 32] for j in range(k))
             return _hits_table(*(np.concatenate(x) for x in out[:3]), out[3])
-        low, ids, isblock = B.read(table, (np.uint8,))
+        low, ids, isblock = B.read(table, (np.uint8,), ROW)
         order = np.argsort(low, kind="stable")
         low, ids, isblock = low[order], ids[order], isblock[order]
         start, length = W.runs(low)
@@ -173,11 +182,11 @@ def _extend(window: int, block: int, bits: int, bits2: int):
         rows = []
         if len(h):
             start, length = _runs2(h, more)
-            low = np.repeat(np.minimum.reduceat(ids[d], start), length)
-            gone = ids[d] > low
+            low = np.repeat(np.minimum.reduceat(ids["id"][d], start), length)
+            gone = ids["id"][d] > low
             if gone.any():
                 doc, (at,) = _per_doc(ids[d[gone]], p[gone])
-                rows += [(-1 - int(i % 1024), i.tobytes(), b) for i, b in zip(doc, at)]
+                rows += [(-1 - int(i["id"] % 1024), i.tobytes(), b) for i, b in zip(doc, at)]
             rows += B.by_range(h[~gone], d[~gone], ids, bits2, more[~gone], p[~gone])
         yield from B.emit(rows)
 
@@ -201,7 +210,7 @@ def _extend(window: int, block: int, bits: int, bits2: int):
                 np.add.at(mark, lo[good], 1)
                 np.add.at(mark, hi[good], -1)
             at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-            held[0].append(part.column(0).to_numpy().astype(np.int64))
+            held[0].append(_rows(part))
             held[1].append(_digests(data.tobytes(), offs, s, e, at, window))
             held[2].append(doc[at] + np.int32(rows))
             held[3].append((at - woffs[doc[at]]).astype(np.uint32))
@@ -218,15 +227,15 @@ def _extend(window: int, block: int, bits: int, bits2: int):
 def _first(table_key, table):
     """Starts whose window a smaller id also has."""
     if table_key[0].as_py() < 0:
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-        return pa.table({"doc_id": ids, "starts": pa.array(table.column("body").to_pylist(), pa.binary())})
-    low, ids, more, p = B.read(table, (U, np.uint32))
+        ids = np.concatenate([np.frombuffer(x, ROW) for x in table.column("ids").to_pylist()])
+        return pa.table({"doc_id": ids["id"], "h": ids["h"], "starts": pa.array(table.column("body").to_pylist(), pa.binary())})
+    low, ids, more, p = B.read(table, (U, np.uint32), ROW)
     order = np.lexsort((more, low))
     low, ids, more, p = low[order], ids[order], more[order], p[order]
     start, length = _runs2(low, more)
-    gone = ids > np.repeat(np.minimum.reduceat(ids, start), length)
-    doc, (at,) = _per_doc(ids[gone], p[gone]) if gone.any() else (np.zeros(0, np.int64), [[]])
-    return pa.table({"doc_id": doc, "starts": pa.array(at, pa.binary())})
+    gone = ids["id"] > np.repeat(np.minimum.reduceat(ids["id"], start), length)
+    doc, (at,) = _per_doc(ids[gone], p[gone]) if gone.any() else (np.zeros(0, ROW), [[]])
+    return pa.table({"doc_id": doc["id"], "h": doc["h"], "starts": pa.array(at, pa.binary())})
 
 
 def _cut(window: int):
@@ -243,7 +252,7 @@ def _cut(window: int):
                 kept_texts.append(b" ".join(w for w, k2 in zip(words, keep.tolist()) if k2))
                 shas.append(hashlib.sha256(kept_texts[-1]).hexdigest())
                 removed.append(int((~keep).sum()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.binary()).cast(pa.string())], names=["doc_id", "h", "n_removed", "kept_sha256", "kept"])
 
     return run
 
@@ -255,29 +264,30 @@ def word_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_c
     in a document with a smaller id; windows are those of the input.  Null,
     empty and short texts lose nothing.  ``texts`` adds the kept words, joined
     by one space, of documents that lost some (null: the text is whole).  Rows
-    with a null id are not compared and stay whole; repeated rows of one id get
-    that id's result.  Other columns are ignored; an empty table gives an empty
-    result.
+    with a null id have no place in the order and stay whole.  Rows that share
+    an id are documents of their own, none smaller than the other.  Other
+    columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "words")
     block = window // 2
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    named = slim.where("doc_id is not null")
+    named = slim.where("doc_id is not null").withColumn("h", F.xxhash64("text"))
+    row = ["doc_id", "h"]
     bits = B.range_bits(named)
     bits2 = max(6, bits - 3)
     hits = scratch.put(named.mapInArrow(_probe(block, bits), B.SCHEMA).groupBy("key").applyInArrow(_meet(bits), _HITS), "hits")
-    base = hits.where("n_words is not null").select("doc_id", "n_words", "rep", "sha")
-    mine = hits.where("hits is not null").groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))
-    cand = scratch.put(named.join(mine, "doc_id").select("doc_id", "text", "hits"), "candidates")
-    starts = cand.mapInArrow(_extend(window, block, bits, bits2), B.SCHEMA).groupBy("key").applyInArrow(_first, "doc_id bigint, starts binary")
+    base = hits.where("n_words is not null").select("doc_id", "h", "n_words", "rep", "sha")
+    mine = hits.where("hits is not null").groupBy(*row).agg(F.collect_list("hits").alias("hits"))
+    cand = scratch.put(named.join(mine, row).select("doc_id", "text", "hits", "h"), "candidates")
+    starts = cand.mapInArrow(_extend(window, block, bits, bits2), B.SCHEMA).groupBy("key").applyInArrow(_first, "doc_id bigint, h bigint, starts binary")
     starts = scratch.put(starts, "starts")
-    cut = cand.select("doc_id", "text").join(starts.groupBy("doc_id").agg(F.collect_list("starts").alias("starts")), "doc_id")
-    cut = cut.mapInArrow(_cut(window), "doc_id bigint, n_removed bigint, kept_sha256 string, kept string")
+    cut = cand.select("doc_id", "text", "h").join(starts.groupBy(*row).agg(F.collect_list("starts").alias("starts")), row).select("doc_id", "text", "starts", "h")
+    cut = cut.mapInArrow(_cut(window), "doc_id bigint, h bigint, n_removed bigint, kept_sha256 string, kept string")
     extra = ["kept"] if texts else []
-    cut = cut.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("n_removed", "kept_sha256", *extra)])
+    cut = cut.groupBy(*row).agg(*[F.first(c).alias(c) for c in ("n_removed", "kept_sha256", *extra)])
     copy = (F.col("rep") < F.col("doc_id")) & (F.col("n_words") >= window)
-    out = base.join(cut.withColumnsRenamed({"n_removed": "r", "kept_sha256": "s"}), "doc_id", "left").select(
+    out = base.join(cut.withColumnsRenamed({"n_removed": "r", "kept_sha256": "s"}), row, "left").select(
         "doc_id", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("r", F.lit(0))).cast("bigint").alias("n_removed"),
         F.when(copy, F.lit(_NIL)).otherwise(F.coalesce("s", F.lower(F.hex("sha")))).alias("kept_sha256"),

@@ -101,6 +101,17 @@ def test_word_dedup_of_hot_passages_and_repeated_rows(spark, monkeypatch):
     assert all("s5 " not in r.kept for r in got if r.doc_id)
 
 
+def test_word_dedup_of_rows_that_share_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(70))
+    rows = [(3, a), (3, b), (3, a + " " + b), (2, b), (4, a), (4, a), (5, "x " + a)]
+    got = sorted(tuple(r) for r in word_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    want = []
+    for k, (d, t) in enumerate(rows):  # each against the rows of smaller ids
+        one = brute.word_dedup([(2 * i + (i == k), x) for i, (e, x) in enumerate(sorted(rows, key=lambda r: r[0])) if e < d] + [(10**6, t)])[10**6]
+        want.append((d, *one))
+    assert got == sorted(want)
+
+
 def test_word_dedup_of_windows_with_one_short_hash(spark, tmp_path):
     from tessera.llm import blobs as B
 
