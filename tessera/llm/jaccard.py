@@ -4,7 +4,8 @@
    by hash range; a range's reducer sees all occurrences of its n-grams, so it
    knows their exact document frequency and sends back only n-grams that two
    different sets share.  Documents with equal sets are one set throughout.
-2. Globally ordered sets: n-grams by (document frequency, hash).  N-grams that
+2. Globally ordered sets: n-grams by (document frequency, hash), 64 bits of it
+   or, where ranges are few, at least 56.  N-grams that
    one document alone has come first and can match nothing, so a document with
    enough of them has no partner and is done.
 3. The rest are grouped into families by shared prefix n-grams (distributed
@@ -13,9 +14,12 @@
 4. Inside a family the ordered sets form a trie.  Queries walk it level by
    level, sharing the partial overlap of a common path; a subtree is cut when
    overlap plus the shorter remaining length cannot reach the threshold.
-   Families beyond BLOCK members are dealt as pairs of blocks.  Pairs that are
-   already connected are not walked again: the result is components, and each
-   link between different components is found.
+   Pairs that are already connected are not walked again: the result is
+   components, and each link between different components is found.
+5. Families beyond BLOCK members are dealt at random into blocks, ROUNDS times,
+   which connects most of what is alike.  What is left open is dealt by shared
+   prefix n-gram: sets outside their family's largest component, in blocks,
+   against all that have the n-gram.
 """
 
 from __future__ import annotations
@@ -33,11 +37,14 @@ U = np.uint64
 FLUSH = 1 << 21
 #: documents in one side of a trie task
 BLOCK = 1024
+#: times that a large family is dealt into random blocks
+ROUNDS = 2
 #: queries walked together
 QUERIES = 128
 
 _MAP = "key int, ids binary, sizes binary, body binary"
-_FLAT = "doc_id bigint, n bigint, name bigint, key int, body binary"
+_FLAT = "doc_id bigint, n bigint, name bigint, name2 bigint, key int, body binary"
+_LIVE = "doc_id bigint, n bigint, prefix array<bigint>, grams binary"
 
 
 def _ranges(docs: DataFrame) -> int:
@@ -58,8 +65,13 @@ def _set_sums(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
-def _mapper(n: int, lower: bool, bits: int):
-    span = 1 << bits
+def _kept(bits: int) -> int:
+    """Bits of a hash that travel beside its range number."""
+    return min(48, 64 - bits)
+
+
+def _mapper(n: int, lower: bool, bits: int, salt: int = 0):
+    span, kept = 1 << bits, _kept(bits)
 
     def flush(ids, hs, ds):
         ids = np.concatenate(ids)
@@ -72,8 +84,10 @@ def _mapper(n: int, lower: bool, bits: int):
             h, d = h[new], d[new]
         size = np.bincount(d, minlength=len(ids)).astype(np.int64)
         s1, s2 = _set_sums(h, d, len(ids))
-        # documents with equal sets are one set from here on, named by its sum
-        name = np.where(size > 0, W.mix(s1 ^ W.mix(s2 + size.astype(U))), U(0)).view(np.int64)
+        # documents with equal sets are one set from here on, named by its sums;
+        # a second name tells whether two different sets share the first
+        name = np.where(size > 0, W.mix(s1 ^ W.mix(s2 + size.astype(U) + U(salt))), U(0)).view(np.int64)
+        name2 = np.where(size > 0, W.mix(s2 ^ W.mix(s1 + U(salt + 1))), U(0)).view(np.int64)
         lead = np.zeros(len(ids), bool)
         lead[np.unique(name, return_index=True)[1]] = True
         lead &= size > 0
@@ -83,19 +97,21 @@ def _mapper(n: int, lower: bool, bits: int):
             keys.append(span + int(ids[a] % 1024))
             idss.append(ids[a : a + step].tobytes())
             sizes.append(size[a : a + step].tobytes())
-            bodies.append(name[a : a + step].tobytes())
+            bodies.append(name[a : a + step].tobytes() + name2[a : a + step].tobytes())
         ok = lead[d]
         h, d = h[ok], d[ok]
         slot = (h >> U(64 - bits)).astype(np.int64)
         at = np.searchsorted(slot, np.arange(span + 1))
-        low = (h >> U(32 - bits)).astype(np.uint32)
+        low = (h >> U(64 - bits - kept)) & U((1 << kept) - 1)
+        told = size.astype(np.uint32)  # a set's size goes with its first n-gram only
         for r in np.flatnonzero(np.diff(at)):
             a, b = at[r], at[r + 1]
             used, local = np.unique(d[a:b], return_inverse=True)
             keys.append(int(r))
             idss.append(name[used].tobytes())
-            sizes.append(size[used].astype(np.uint32).tobytes())
-            bodies.append(low[a:b].tobytes() + local.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes())
+            sizes.append(told[used].tobytes())
+            told[used] = 0
+            bodies.append(low[a:b].astype(np.uint32).tobytes() + (low[a:b] >> U(32)).astype(np.uint16).tobytes() + local.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes())
         for a in range(0, len(keys), 512):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[a : a + 512], pa.int32())] + [pa.array(x[a : a + 512], pa.binary()) for x in (idss, sizes, bodies)],
@@ -124,10 +140,10 @@ def _mapper(n: int, lower: bool, bits: int):
 
 
 def _reducer(bits: int, buckets: int):
-    span = 1 << bits
+    span, kept = 1 << bits, _kept(bits)
 
     def empty():
-        return pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "name": pa.array([], pa.int64()), "key": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
+        return pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "name": pa.array([], pa.int64()), "name2": pa.array([], pa.int64()), "key": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
 
     def run(key, table):
         r = key[0].as_py()
@@ -135,50 +151,56 @@ def _reducer(bits: int, buckets: int):
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in cols["ids"]])
         sizes = np.concatenate([np.frombuffer(x, np.int64 if r >= span else np.uint32).astype(np.int64) for x in cols["sizes"]])
         if r >= span:
-            reps = np.concatenate([np.frombuffer(x, np.int64) for x in cols["body"]])
+            names = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in cols["body"]], 1)
             k = len(ids)
-            return pa.table({"doc_id": ids, "n": sizes, "name": reps, "key": pa.nulls(k, pa.int32()), "body": pa.nulls(k, pa.binary())})
+            return pa.table({"doc_id": ids, "n": sizes, "name": names[0], "name2": names[1], "key": pa.nulls(k, pa.int32()), "body": pa.nulls(k, pa.binary())})
         toks, docs, base = [], [], 0
         for i, b in zip(cols["ids"], cols["body"]):
             short = len(i) <= 8 << 16
-            m = len(b) // (6 if short else 8)
-            toks.append(np.frombuffer(b, np.uint32, m))
-            docs.append(np.frombuffer(b, np.uint16 if short else np.uint32, m, 4 * m).astype(np.int64) + base)
+            m = len(b) // (8 if short else 10)
+            toks.append(np.frombuffer(b, np.uint32, m).astype(U) | np.frombuffer(b, np.uint16, m, 4 * m).astype(U) << U(32))
+            docs.append(np.frombuffer(b, np.uint16 if short else np.uint32, m, 6 * m).astype(np.int64) + base)
             base += len(i) // 8
         tok, doc = np.concatenate(toks), np.concatenate(docs)
-        order = np.lexsort((ids[doc], tok))
+        order = np.lexsort((-sizes[doc], ids[doc], tok))
         tok, doc = tok[order], doc[order]
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (ids[doc[1:]] != ids[doc[:-1]])
         tok, doc = tok[new], doc[new]  # the same set from several tasks
         start, length = W.runs(tok)
         df = np.repeat(length, length)
-        shared = df > 1
-        if not shared.any():
+        n = sizes[doc]
+        go = (df > 1) | (n > 0)  # shared n-grams, and sizes whatever they come with
+        if not go.any():
             return empty()
-        tok, doc, df = tok[shared], doc[shared], df[shared]
-        # order key: document frequency (16 bits), then 48 bits of hash
-        value = (np.minimum(df, 0xFFFF).astype(U) << U(48)) | (U(r) << U(32)) | tok.astype(U)
+        tok, doc, df, n = tok[go], doc[go], df[go], n[go]
+        value = (U(r) << U(kept)) | tok
         d = ids[doc]
         bucket = (W.mix(d.astype(U)) % U(buckets)).astype(np.int64)
         order = np.lexsort((d, bucket))
-        d, value, bucket, n = d[order], value[order], bucket[order], sizes[doc][order]
+        d, value, df, bucket, n = d[order], value[order], np.minimum(df, 0xFFFF)[order], bucket[order], n[order]
         start, length = W.runs(bucket)
-        body = [_pack(d[a : a + m], n[a : a + m], value[a : a + m]) for a, m in zip(start, length)]
+        body = [_pack(d[a : a + m], n[a : a + m], value[a : a + m], df[a : a + m]) for a, m in zip(start, length)]
         k = len(start)
         null = pa.nulls(k, pa.int64())
-        return pa.table({"doc_id": null, "n": null, "name": null, "key": pa.array(bucket[start], pa.int32()), "body": pa.array(body, pa.binary())})
+        return pa.table({"doc_id": null, "n": null, "name": null, "name2": null, "key": pa.array(bucket[start], pa.int32()), "body": pa.array(body, pa.binary())})
 
     return run
 
 
-def _pack(d: np.ndarray, n: np.ndarray, value: np.ndarray) -> bytes:
-    return d.tobytes() + value.tobytes() + n.astype(np.uint32).tobytes()
+def _pack(d: np.ndarray, n: np.ndarray, value: np.ndarray, df: np.ndarray) -> bytes:
+    return d.tobytes() + value.tobytes() + n.astype(np.uint32).tobytes() + df.astype(np.uint16).tobytes()
+
+
+def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    k = len(b) // 22
+    return np.frombuffer(b, np.int64, k), np.frombuffer(b, np.uint32, k, 16 * k).astype(np.int64), np.frombuffer(b, U, k, 8 * k), np.frombuffer(b, np.uint16, k, 20 * k)
 
 
-def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k = len(b) // 20
-    return np.frombuffer(b, np.int64, k), np.frombuffer(b, np.uint32, k, 16 * k).astype(np.int64), np.frombuffer(b, np.uint64, k, 8 * k)
+def _ordered(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, frequencies) of a set, in the global order."""
+    k = len(b) // 10
+    return np.frombuffer(b, U, k), np.frombuffer(b, np.uint16, k, 8 * k)
 
 
 def _gather(num: int, den: int):
@@ -186,14 +208,14 @@ def _gather(num: int, den: int):
     partner, with the prefix n-grams to find it by."""
 
     def run(table):
-        d, n, v = (np.concatenate(x) for x in zip(*map(_unpack, table.column("body").to_pylist())))
-        order = np.lexsort((v, d))
-        d, n, v = d[order], n[order], v[order]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1])
-        d, n, v = d[new], n[new], v[new]
+        d, n, v, df = (np.concatenate(x) for x in zip(*map(_unpack, table.column("body").to_pylist())))
+        order = np.lexsort((v, df, d))
+        d, n, v, df = d[order], n[order], v[order], df[order]
+        start, _ = W.runs(d)
+        size = np.repeat(np.maximum.reduceat(n, start), np.diff(np.append(start, len(d))))
+        d, size, v, df = (x[df > 1] for x in (d, size, v, df))
         start, length = W.runs(d)
-        size = n[start]
+        size = size[start]
         need = -(-size * num // den)  # least overlap with any partner
         own = size - length  # n-grams no one else has: they come first
         take = size - need + 1 - own
@@ -207,7 +229,7 @@ def _gather(num: int, den: int):
             "doc_id": d[start[rows]],
             "n": size[rows],
             "prefix": pa.ListArray.from_arrays(pa.array(offs), pa.array(values)),
-            "grams": pa.array([v[start[r] : start[r] + length[r]].tobytes() for r in rows], pa.binary()),
+            "grams": pa.array([v[start[r] : start[r] + length[r]].tobytes() + df[start[r] : start[r] + length[r]].tobytes() for r in rows], pa.binary()),
         })
 
     return run
@@ -232,11 +254,11 @@ class _Union:
         return True
 
 
-def trie_links(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int, side: np.ndarray | None = None, comp: np.ndarray | None = None) -> list[tuple[int, int]]:
+def trie_links(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int, side: np.ndarray | None = None, comp: np.ndarray | None = None, freqs: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Spanning links of the graph of pairs with |A & B| * den >= num * |A | B|.
 
-    sets: sorted order keys of n-grams that others share; sizes: full set
-    sizes.  side: where given, only pairs across the two sides are of interest
+    sets: n-grams that others share, in the order of (freqs, n-gram), or of the
+    n-gram alone; sizes: full set sizes.  side: where given, only pairs across the two sides are of interest
     (the rest are another task's).  comp: components known beforehand.
     """
     k = len(sets)
@@ -247,7 +269,11 @@ def trie_links(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int, si
             link.join(first.setdefault(c, i), i)
     out: list[tuple[int, int]] = []
     length = np.array([len(s) for s in sets], np.int64)
-    vocab, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    vocab, one, flat = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
+    if freqs is not None:  # numbers in the global order
+        rank = np.empty(len(vocab), np.int64)
+        rank[np.lexsort((vocab, np.concatenate(freqs)[one]))] = np.arange(len(vocab))
+        flat = rank[flat]
     at = np.zeros(k + 1, np.int64)
     np.cumsum(length, out=at[1:])
     # rows in trie order: big-endian bytes sort like the sequences
@@ -388,15 +414,15 @@ def _rank(flat: np.ndarray, at: np.ndarray, q: np.ndarray, t: np.ndarray) -> np.
         hi = np.where(go & ~less, mid, hi)
 
 
-def _blocks(num: int, den: int):
-    def run(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
+def _blocks(num: int, den: int, sides: bool = False):
+    """Links within a block, or between its two sides."""
+
+    def run(table):
         ids = table.column("doc_id").to_numpy()
         sizes = table.column("n").to_numpy()
-        block = table.column("block").to_numpy()
         known = table.column("known").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-        links = trie_links(sets, sizes, num, den, block if i != j else None, known)
+        sets, freqs = zip(*map(_ordered, table.column("grams").to_pylist()))
+        links = trie_links(list(sets), sizes, num, den, table.column("side").to_numpy() if sides else None, known, list(freqs))
         a = np.array([ids[x] for x, _ in links], np.int64)
         b = np.array([ids[y] for _, y in links], np.int64)
         return pa.table({"a": a, "b": b})
@@ -404,6 +430,45 @@ def _blocks(num: int, den: int):
     return run
 
 
+_PAIR = "a bigint, b bigint"
+
+
+def _dealt(member: DataFrame, r: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links within blocks of families, dealt anew each round; a family of one
+    block is done with the first."""
+    nb = F.ceil(F.col("k") / BLOCK)
+    block = F.pmod(F.xxhash64("doc_id", F.lit(r)), nb).cast("int")
+    rows = member.withColumn("block", block).select("family", "block", "doc_id", "n", "grams", "known")
+    return scratch.put(rows.groupBy("family", "block").applyInArrow(_blocks(num, den), _PAIR), f"links-{r}")
+
+
+def _known(member: DataFrame, local: DataFrame) -> DataFrame:
+    """Members with the component they are known to be in."""
+    of = local.select(F.col("id").alias("doc_id"), F.col("component").alias("known"))
+    return member.join(of, "doc_id", "left").withColumn("known", F.coalesce("known", "doc_id"))
+
+
+def _open(big: DataFrame) -> DataFrame:
+    """(family, top) of families of several components; top is the largest."""
+    each = big.groupBy("family", "known").agg(F.count("*").alias("size"))
+    return each.groupBy("family").agg(F.count("*").alias("parts"), F.max(F.struct("size", "known")).alias("top")).where("parts > 1").select("family", F.col("top.known").alias("top"))
+
+
+def _across(big: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between sets outside their family's largest component and all sets
+    that share a prefix n-gram, blocks of the ones against blocks of the others."""
+    cols = ["doc_id", "n", "grams", "known"]
+    post = big.select(*cols, (F.col("known") != F.col("top")).alias("out"), F.explode("prefix").alias("gram"))
+    sizes = post.groupBy("gram").agg(F.count("*").alias("every"), F.count_if("out").alias("rest")).where("rest > 0 and every > 1")
+    sizes = sizes.select("gram", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("every", "rest")])
+    post = post.join(sizes, "gram")
+    own = lambda c: F.pmod(F.xxhash64("doc_id", "gram"), F.col(c)).cast("int")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = post.where("out").select("gram", *cols, F.lit(0).alias("side"), own("rest").alias("i"), all_of("every").alias("j"))
+    b = post.select("gram", *cols, F.lit(1).alias("side"), all_of("rest").alias("i"), own("every").alias("j"))
+    return a.unionByName(b).groupBy("gram", "i", "j").applyInArrow(_blocks(num, den, True), _PAIR)
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100), lower: bool = True, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Components of the graph of documents whose n-gram sets have a Jaccard
     similarity of at least threshold[0] / threshold[1].
@@ -422,42 +487,37 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     nameless = slim.where("doc_id is null").select("doc_id", "text")
     bits = _ranges(slim).bit_length() - 1
-    packed = slim.where("doc_id is not null").mapInArrow(_mapper(n, lower, bits), _MAP)
     buckets = 1 << max(8, bits - 2)
-    flat = scratch.put(packed.groupBy("key").applyInArrow(_reducer(bits, buckets), _FLAT), "shared")
-    base = flat.where("key is null").select("doc_id", "n", "name")
-    live = scratch.put(
-        flat.where("key is not null").groupBy("key").applyInArrow(_gather(num, den), "doc_id bigint, n bigint, prefix array<bigint>, grams binary"), "live"
-    )
+    for salt in range(8):  # another salt only where two different sets have one name
+        packed = slim.where("doc_id is not null").mapInArrow(_mapper(n, lower, bits, salt), _MAP)
+        flat = scratch.put(packed.groupBy("key").applyInArrow(_reducer(bits, buckets), _FLAT), f"shared-{salt}")
+        base = flat.where("key is null").select("doc_id", "n", "name", "name2")
+        if base.groupBy("name").agg((F.min("name2") != F.max("name2")).alias("clash")).where("clash").isEmpty():
+            break
+        scratch.drop(f"shared-{salt}")
+    live = scratch.put(flat.where("key is not null").groupBy("key").applyInArrow(_gather(num, den), _LIVE), "live")
     post = live.select("doc_id", F.explode("prefix").alias("gram"))
     heads = post.groupBy("gram").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head != tail").select("gram", "head")
     edges = post.join(heads, "gram").where("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     family = connected_components(edges, scratch, "family")
-    sized = family.join(family.groupBy("component").agg(F.count("*").alias("k")), "component")
-    member = (
-        live.select("doc_id", "n", "grams")
-        .join(sized.select(F.col("id").alias("doc_id"), F.col("component").alias("family"), F.ceil(F.col("k") / BLOCK).cast("int").alias("nb")), "doc_id")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
-        .withColumn("known", F.col("doc_id"))
-    )
-    # members of one block first; what they connect need not be walked again
-    own = member.withColumn("i", F.col("block")).withColumn("j", F.col("block"))
-    links = scratch.put(own.groupBy("family", "i", "j").applyInArrow(_blocks(num, den), "a bigint, b bigint"), "links-own")
-    big = member.where("nb > 1")
-    local = connected_components(links, scratch, "local")
-    crossed = (
-        big.drop("known").join(local.select(F.col("id").alias("doc_id"), F.col("component").alias("known")), "doc_id", "left")
-        .withColumn("known", F.coalesce("known", "doc_id"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .where("other != block")
-        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-    )
-    more = scratch.put(crossed.groupBy("family", "i", "j").applyInArrow(_blocks(num, den), "a bigint, b bigint"), "links-cross")
-    final = connected_components(more.union(local.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch, "final")
-    whole = base.join(final.select(F.col("id").alias("name"), F.col("component").alias("c")), "name", "left").withColumn("c", F.coalesce("c", "name"))
+    sized = family.join(family.groupBy("component").agg(F.count("*").alias("k")), "component").select(F.col("id").alias("doc_id"), F.col("component").alias("family"), "k")
+    member = live.join(sized, "doc_id")
+    links = _dealt(member.withColumn("known", F.col("doc_id")), 0, num, den, scratch)
+    local = connected_components(links, scratch, "local-0")
+    for r in range(1, ROUNDS + 1):  # large families of which not all is one component
+        big = scratch.put(_known(member.where(F.col("k") > BLOCK), local), f"big-{r}")
+        left = _open(big)
+        if left.isEmpty():
+            break
+        if r == ROUNDS:
+            within = scratch.put(_across(big.join(left.select("family", "top"), "family"), num, den), f"links-{r}")
+        else:
+            within = _dealt(big.join(left.select("family"), "family", "left_semi"), r, num, den, scratch)
+        local = connected_components(within.union(local.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch, f"local-{r}")
+    whole = base.join(local.select(F.col("id").alias("name"), F.col("component").alias("c")), "name", "left").withColumn("c", F.coalesce("c", "name"))
     whole = scratch.put(whole.select("doc_id", "n", "c"), "classes")
-    least = whole.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
-    found = whole.join(least, (whole.c == least.c) & (whole.n > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    least = scratch.put(whole.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least")).withColumnRenamed("c", "lc"), "least")
+    found = whole.join(least, (whole.c == least.lc) & (whole.n > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     lone = nameless.mapInArrow(_sizes(n, lower), "n_shingles bigint").select(F.lit(None).cast("bigint").alias("doc_id"), "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
     return found.unionByName(lone)
 

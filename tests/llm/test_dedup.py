@@ -79,6 +79,45 @@ def test_large_families_in_blocks(spark, monkeypatch):
     assert got == brute.jaccard(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_large_families_of_several_components(spark, monkeypatch, rounds):
+    monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "ROUNDS", rounds)
+    r = np.random.default_rng(rounds)
+    line = [f"t{j}" for j in range(3000)]
+    rows, at = [], 0
+    for i in range(260):  # stretches of one line of words: near ones are alike, and all hang together by shared n-grams
+        at += int(r.integers(1, 9))
+        rows.append((i, " ".join(line[at : at + 100])))
+    rows = [rows[k] for k in r.permutation(len(rows))]
+    want = brute.jaccard(rows, 3, 90, 100)
+    assert 20 < len({c for _, c in want.values()}) < 200
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, (90, 100)).collect()}
+    assert got == want
+
+
+def test_equal_names_of_different_sets_are_noticed(spark, monkeypatch):
+    seen, mapper = [], J._mapper
+
+    def few(n, lower, bits, salt=0):
+        seen.append(salt)
+        run = mapper(n, lower, bits, salt)
+
+        def same(batches):  # with the first salt all sets have one name
+            for b in run(batches):
+                body = b.column("body").to_pylist()
+                if salt == 0:
+                    body = [np.r_[np.ones(len(x) // 16, np.int64), np.frombuffer(x, np.int64)[len(x) // 16 :]].tobytes() if k >= 1 << bits else x for k, x in zip(b.column("key").to_pylist(), body)]
+                yield b.set_column(b.schema.get_field_index("body"), "body", J.pa.array(body, J.pa.binary()))
+
+        return same
+
+    monkeypatch.setattr(J, "_mapper", few)
+    rows = [(i, f"some text of its own {i}") for i in range(9)]
+    got = J.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, (90, 100)).collect()
+    assert seen == [0, 1] and all(x.component_id == x.doc_id for x in got)
+
+
 def test_word_dedup_against_brute_force(spark, sf_dir, odd, none):
     for df in (documents(spark, sf_dir), odd):
         want = brute.word_dedup([r for r in pairs(df) if r[0] is not None])
