@@ -17,9 +17,9 @@
    Pairs that are already connected are not walked again: the result is
    components, and each link between different components is found.
 5. Families beyond BLOCK members are dealt at random into blocks, ROUNDS times,
-   which connects most of what is alike.  What is left open is dealt by shared
-   prefix n-gram: sets outside their family's largest component, in blocks,
-   against all that have the n-gram.
+   which connects most of what is alike.  What is left open: sets outside their
+   family's largest component, in blocks, against blocks of all of the family,
+   or, where they are many, of all that share a prefix n-gram.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ FLUSH = 1 << 21
 BLOCK = 1024
 #: times that a large family is dealt into random blocks
 ROUNDS = 2
+#: blocks outside the largest component that meet all of their family
+FEW = 8
 #: queries walked together
 QUERIES = 128
 
@@ -449,24 +451,31 @@ def _known(member: DataFrame, local: DataFrame) -> DataFrame:
 
 
 def _open(big: DataFrame) -> DataFrame:
-    """(family, top) of families of several components; top is the largest."""
+    """(family, top, every, rest) of families of several components: the largest
+    component, and blocks that all sets, and those outside it, make."""
     each = big.groupBy("family", "known").agg(F.count("*").alias("size"))
-    return each.groupBy("family").agg(F.count("*").alias("parts"), F.max(F.struct("size", "known")).alias("top")).where("parts > 1").select("family", F.col("top.known").alias("top"))
-
-
-def _across(big: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between sets outside their family's largest component and all sets
-    that share a prefix n-gram, blocks of the ones against blocks of the others."""
-    cols = ["doc_id", "n", "grams", "known"]
-    post = big.select(*cols, (F.col("known") != F.col("top")).alias("out"), F.explode("prefix").alias("gram"))
-    sizes = post.groupBy("gram").agg(F.count("*").alias("every"), F.count_if("out").alias("rest")).where("rest > 0 and every > 1")
-    sizes = sizes.select("gram", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("every", "rest")])
-    post = post.join(sizes, "gram")
-    own = lambda c: F.pmod(F.xxhash64("doc_id", "gram"), F.col(c)).cast("int")
+    per = each.groupBy("family").agg(F.count("*").alias("parts"), F.max(F.struct("size", "known")).alias("top"), F.sum("size").alias("size")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    return per.select("family", F.col("top.known").alias("top"), blocks(F.col("size")).alias("every"), blocks(F.col("size") - F.col("top.size")).alias("rest"))
+
+
+def _across(big: DataFrame, left: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between sets outside their family's largest component and all sets,
+    blocks of the ones against blocks of the others.  Where the former make more
+    than FEW blocks, only sets that share a prefix n-gram meet."""
+    who = big.join(left, "family").withColumn("out", F.col("known") != F.col("top"))
+    near = who.where(F.col("rest") <= FEW).select("doc_id", "out", F.struct(F.col("family").alias("a"), F.lit(0).cast("bigint").alias("b")).alias("at"), "every", "rest")
+    post = who.where(F.col("rest") > FEW).select("doc_id", "out", "family", F.explode("prefix").alias("gram"))
+    sizes = post.groupBy("family", "gram").agg(F.count("*").alias("every"), F.count_if("out").alias("rest")).where("rest > 0 and every > 1")
+    sizes = sizes.select("family", "gram", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("every", "rest")])
+    far = post.join(sizes, ["family", "gram"]).select("doc_id", "out", F.struct(F.col("family").alias("a"), F.col("gram").alias("b")).alias("at"), "every", "rest")
+    seats = near.unionByName(far)
+    own = lambda c: F.pmod(F.xxhash64("doc_id", "at"), F.col(c)).cast("int")
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    a = post.where("out").select("gram", *cols, F.lit(0).alias("side"), own("rest").alias("i"), all_of("every").alias("j"))
-    b = post.select("gram", *cols, F.lit(1).alias("side"), all_of("rest").alias("i"), own("every").alias("j"))
-    return a.unionByName(b).groupBy("gram", "i", "j").applyInArrow(_blocks(num, den, True), _PAIR)
+    a = seats.where("out").select("doc_id", "at", F.lit(0).alias("side"), own("rest").alias("i"), all_of("every").alias("j"))
+    b = seats.select("doc_id", "at", F.lit(1).alias("side"), all_of("rest").alias("i"), own("every").alias("j"))
+    rows = a.unionByName(b).join(big.select("doc_id", "n", "grams", "known"), "doc_id")
+    return rows.groupBy("at", "i", "j").applyInArrow(_blocks(num, den, True), _PAIR)
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100), lower: bool = True, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -510,7 +519,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
         if left.isEmpty():
             break
         if r == ROUNDS:
-            within = scratch.put(_across(big.join(left.select("family", "top"), "family"), num, den), f"links-{r}")
+            within = scratch.put(_across(big, left, num, den), f"links-{r}")
         else:
             within = _dealt(big.join(left.select("family"), "family", "left_semi"), r, num, den, scratch)
         local = connected_components(within.union(local.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch, f"local-{r}")

@@ -79,9 +79,10 @@ def test_large_families_in_blocks(spark, monkeypatch):
     assert got == brute.jaccard(rows, 3, 90, 100)
 
 
-@pytest.mark.parametrize("rounds", [1, 2, 3])
-def test_large_families_of_several_components(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("rounds, few", [(1, 8), (2, 0), (3, 1)])
+def test_large_families_of_several_components(spark, monkeypatch, rounds, few):
     monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "FEW", few)
     monkeypatch.setattr(J, "ROUNDS", rounds)
     r = np.random.default_rng(rounds)
     line = [f"t{j}" for j in range(3000)]
