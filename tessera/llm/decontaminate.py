@@ -11,9 +11,12 @@
    ``cosine`` is a candidate.
    Benchmarks beyond ``MAX_ITEMS`` or ``MAX_TERMS`` are cut into blocks, each
    searched for in the whole corpus; their finds are united.
-4. Candidates are checked by the longest common subsequence of terms with the
-   item around the passage: ``coverage`` of the item's terms, and the item's
-   answer (its last ``ANSWER`` terms) for the most part, in that order.
+   The items are a query set that all passages meet, in blocks of bounded size.
+4. Candidates are checked by the heaviest common subsequence of terms with the
+   item around the passage, terms weighing their inverse document frequency:
+   ``coverage`` of the item's weight, and part of its answer's.  So words that
+   every text has do not make a leak, and a paraphrase that keeps the telling
+   words in order, among others, is one.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from . import words as W
 from .store import Scratch
 
 PASSAGE, STRIDE = 64, 32
-ANSWER = 4
+#: an item's answer is its last quarter, of so many terms at least, and is there
+#: if this share of its weight is
+ANSWER, ANSWERED = 4, 1 / 4
 #: most benchmark items and terms of one block: what the driver and tasks hold
 MAX_ITEMS, MAX_TERMS = 20_000, 65_535
 _FOUND = "doc_id bigint, item_id bigint, coverage double, cosine double"
@@ -193,41 +198,46 @@ def _gram(n_terms: int, idf: np.ndarray, omega: np.ndarray):
     return run
 
 
-def _add(table):
-    total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table.column("part").to_pylist())
-    return pa.table({"block": table.column("block")[:1], "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-
-def lcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each prefix of ``a`` the longest common subsequence with all of
-    ``b``: bit-parallel over ``a`` (Hyyro)."""
-    masks: dict[int, int] = {}
-    for i, x in enumerate(a.tolist()):
-        masks[x] = masks.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for x in b.tolist():
-        u = v & masks.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-    zeros = np.array([~v >> i & 1 for i in range(len(a))])
-    return np.cumsum(zeros)
-
-
-def _judge(item: np.ndarray, seq: np.ndarray, start: int, coverage: float) -> float:
-    """Share of the item in the text around a passage; 0 if it is not in it."""
-    a, b = max(0, start - len(item)), start + PASSAGE + len(item)
-    near = seq[a:b]
-    near = near[near > 0].astype(np.int64)
-    got = lcs(item, near)
-    if not len(got) or got[-1] < coverage * len(item):
+#: tasks' parts are added in so many lanes first, then the lanes
+LANES = 64
+
+
+def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of a group's parts, one batch of them in memory at a time."""
+    total = 0
+    for batch in batches:
+        for x in batch.column("part").to_pylist():
+            total = total + np.frombuffer(x, np.float32).astype(np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["block", "part"])
+
+
+# kept as types: Spark reads them to hand over a group's batches one by one
+_add.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+
+
+def lcs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
+    """Greatest weight of a common subsequence; ``weight`` is that of each of
+    ``a``.  One row of the table after the other."""
+    row = np.zeros(len(b) + 1)
+    for x, w in zip(a.tolist(), weight.tolist()):
+        best = np.where(b == x, row[:-1] + w, row[1:])
+        np.maximum.accumulate(np.maximum(best, row[1:]), out=row[1:])
+    return float(row[-1])
+
+
+def _judge(item: np.ndarray, weight: np.ndarray, near: np.ndarray, coverage: float) -> float:
+    """Share of the item, by weight, in the terms near a passage; 0 if the item
+    or its answer is not there."""
+    got = lcs(item, near, weight)
+    if got < coverage * weight.sum():
         return 0.0
-    tail = item[-ANSWER:]
-    if lcs(tail, near)[-1] * 2 < len(tail):
+    tail = slice(-max(ANSWER, len(item) // 4), None)
+    if lcs(item[tail], near, weight[tail]) < ANSWERED * weight[tail].sum():
         return 0.0
-    return float(got[-1] / len(item))
+    return got / float(weight.sum())
 
 
-def _search(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float, coverage: float):
+def _search(items: Items, idf: np.ndarray, full: np.ndarray, basis: np.ndarray, cosine: float, coverage: float):
     n_terms = len(items.vocab)
     q = np.zeros((len(items.ids), basis.shape[1]), np.float32)
     for i, t in enumerate(items.terms):
@@ -235,8 +245,10 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float, cov
             r, c, v = _tf(t, np.zeros(len(t), np.int64), n_terms)
             w, norm = _weigh(r, c, v, idf, 1)
             q[i] = (w / max(norm[0], 1e-6)) @ basis[c]
-    lists = [t.tolist() for t in items.terms]
-    longest = max(map(len, lists), default=0)
+    weights = [full[t - 1].astype(np.float64) for t in items.terms]
+    distinct = [np.unique(t, return_inverse=True) for t in items.terms]
+    shares = [(u, np.bincount(k, w, len(u)) / max(w.sum(), 1e-9)) for (u, k), w in zip(distinct, weights)]
+    present = np.zeros(n_terms + 1, bool)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-6)
 
     def run(batches):
@@ -249,21 +261,27 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float, cov
             some = np.flatnonzero(norm > 0)
             z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-6)
             step = min(4096, 1 + (1 << 24) // len(q))
+            last, near = (-1, -1), np.zeros(0, np.int64)
             for a in range(0, len(some), step):
                 p, i = np.nonzero(z[some[a : a + step]] @ q.T >= cosine)
-                last, near = -1, frozenset()
                 for p1, i1 in zip(some[p + a].tolist(), i.tolist()):
                     d = int(owner[p1])
                     if (d, i1) in best and best[d, i1][0] >= 1:
                         continue
-                    if p1 != last:  # no subsequence is longer than the shared terms
-                        last, at = p1, int(begin[p1])
-                        near = frozenset(np.frombuffer(blobs[d], np.uint16)[max(0, at - longest) : at + PASSAGE + longest].tolist())
-                    if sum(t in near for t in lists[i1]) < coverage * len(lists[i1]):
+                    size = len(items.terms[i1])
+                    if (p1, size) != last:
+                        last, at = (p1, size), int(begin[p1])
+                        present[near] = False
+                        near = np.frombuffer(blobs[d], np.uint16)[max(0, at - size) : at + PASSAGE + size].astype(np.int64)
+                        near = near[near > 0]
+                        present[near] = True
+                    # no subsequence weighs more than the shared terms
+                    if shares[i1][1] @ present[shares[i1][0]] < coverage:
                         continue
-                    share = _judge(items.terms[i1], np.frombuffer(blobs[d], np.uint16), int(begin[p1]), coverage)
+                    share = _judge(items.terms[i1], weights[i1], near, coverage)
                     if share:
                         best[d, i1] = max(best.get((d, i1), (0.0, 0.0)), (share, float(z[p1] @ q[i1])))
+            present[near] = False
             found = sorted(best)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[d] for d, _ in found], pa.int64()), pa.array([int(items.ids[i]) for _, i in found], pa.int64()), pa.array([best[k][0] for k in found], pa.float64()), pa.array([best[k][1] for k in found], pa.float64())],
@@ -275,10 +293,9 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float, cov
 
 def _telling(items: Items, df: np.ndarray, passages: int) -> np.ndarray:
     """Which terms have weight in the search: those in at most one passage in
-    fifty (of a thousand at least), and each item's rarer half in any case, so
-    that an item that leaked everywhere is still found.  The check of candidates
-    uses all terms."""
-    keep = df <= max(1000, passages // 50)
+    fifty, and each item's rarer half in any case, so that an item that leaked
+    everywhere is still found.  The check of candidates weighs all terms."""
+    keep = df * 50 <= passages
     for t in items.terms:
         own = np.unique(t) - 1
         keep[own[np.argsort(df[own], kind="stable")[: -(-len(own) // 2)]]] = True
@@ -314,7 +331,7 @@ def load_items(benchmark: DataFrame, scratch: Scratch, item_col: str = "item_id"
     return _blocks(read())
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float = 0.5, coverage: float = 0.6, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float = 0.5, coverage: float = 0.45, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, item_id, coverage, cosine) of each item found in a document."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "leaks")
@@ -334,6 +351,7 @@ def _leaks(seqs: DataFrame, items: Items, rank: int, cosine: float, coverage: fl
     n = len(items.vocab)
     counts = {r.term: r.n for r in seqs.mapInArrow(_frequencies(n), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.array([np.log((1 + counts.get(n, 0)) / (1 + counts.get(t, 0))) + 0.05 for t in range(n)], np.float32)
+    full = idf.copy()
     idf[~_telling(items, np.array([counts.get(t, 0) for t in range(n)]), counts.get(n, 0))] = 0
     # the items as rows of their own, so that the space holds what they say
     m = len(items.ids)
@@ -344,13 +362,16 @@ def _leaks(seqs: DataFrame, items: Items, rank: int, cosine: float, coverage: fl
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, k)))[0].astype(np.float32)
     passages = max(1, counts.get(n, 0))
     for step in range(2):
-        parts = seqs.mapInArrow(_gram(n, idf, basis), "block int, part binary").groupBy("block").applyInArrow(_add, "block int, part binary").collect()
+        parts = seqs.mapInArrow(_gram(n, idf, basis), "block int, part binary").withColumn("lane", F.spark_partition_id() % LANES)
+        for keys in (("block", "lane"), ("block",)):
+            parts = parts.groupBy(*keys).applyInArrow(_add, "block int, part binary")
+        parts = parts.collect()
         z = np.zeros((n, k), np.float64)
         for r in parts:
             z[r.block : r.block + 64] = np.frombuffer(r.part, np.float32).reshape(-1, k)
         z += passages * _columns_times(row, term, val, n, _rows_times(row, term, val, m, basis)).astype(np.float64)  # items weigh as much as the corpus
         basis = np.linalg.qr(z)[0].astype(np.float32)
-    return seqs.mapInArrow(_search(items, idf, basis, cosine, coverage), _FOUND)
+    return seqs.mapInArrow(_search(items, idf, full, basis, cosine, coverage), _FOUND)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, **options) -> DataFrame:

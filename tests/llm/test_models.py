@@ -191,6 +191,8 @@ def test_leaks_against_brute_force(spark, odd, none):
                         want.add(i)
         hits += bool(want)
         assert want <= got[d], d
+        for i in got[d]:  # and nothing without a good part of the item in its order
+            assert max(brute.lcs(words[i], clean(t)[max(0, a - len(words[i])) : a + 64 + len(words[i])]) for a in range(0, max(1, len(clean(t))), 32)) >= 0.35 * len(words[i]), (d, i)
     assert hits >= 20
     o = D.decontaminate(odd, bench).collect()
     assert len(o) == odd.count() and not any(r.contaminated for r in o)
@@ -216,11 +218,37 @@ def test_paraphrased_leak(spark):
     assert got == {1: True, 2: False, 3: False}
 
 
+def test_recall_of_paraphrases_and_precision(spark):
+    """More items than the space has dimensions, among clean documents."""
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if r.text and 60 < len(r.text.split()) < 500]
+    r = np.random.default_rng(6)
+    vocab = sorted({w for t in docs for w in t.split()})
+    draw = lambda n: [vocab[int(k)] for k in r.integers(0, len(vocab), n)]
+    items = [draw(int(r.integers(15, 60))) for _ in range(300)]
+    rows, truth = [(k, t) for k, t in enumerate(docs)], {}
+    for rate in (0.0, 0.2, 0.35):
+        for k in range(60):
+            w = list(items[k])
+            for j in r.choice(len(w), round(rate * len(w)), replace=False):
+                w[j] = draw(1)[0]
+            host = docs[int(r.integers(len(docs)))].split()
+            cut = int(r.integers(len(host)))
+            truth[10_000 + len(truth)] = (rate, k)
+            rows.append((10_000 + len(truth) - 1, " ".join(host[:cut] + w + host[cut:])))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {x.doc_id: set(x.item_ids) for x in D.decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), bench).collect()}
+    for rate in (0.0, 0.2, 0.35):
+        assert np.mean([k in got[d] for d, (x, k) in truth.items() if x == rate]) >= (0.9 if rate else 1.0)
+    assert not any(got[d] for d in range(len(docs))) and all(got[d] <= {k} for d, (_, k) in truth.items())
+
+
 def test_lcs_against_the_table():
     r = np.random.default_rng(2)
     for _ in range(50):
         a, b = r.integers(0, 6, int(r.integers(1, 80))), r.integers(0, 6, int(r.integers(0, 90)))
-        assert D.lcs(a, b)[-1] == brute.lcs(a.tolist(), b.tolist())
+        assert D.lcs(a, b, np.ones(len(a))) == brute.lcs(a.tolist(), b.tolist())
+    a, b = np.array([1, 2, 3]), np.array([3, 1, 2])
+    assert D.lcs(a, b, np.array([1.0, 1.0, 5.0])) == 5 and D.lcs(a, b, np.array([1.0, 1.0, 1.5])) == 2
 
 
 def test_surrogates(spark, odd, none):
