@@ -7,7 +7,8 @@ scored.  Attention and encoder are learned together from document labels, as in
 Ilse et al., "Attention-based Deep Multiple Instance Learning" (2018).
 
 Fitting takes at most ``max_train`` labelled documents, those of least id hash,
-whose passages are encoded on the executors; scoring is one pass over all
+and of each at most ``max_passages`` passages, evenly spaced, encoded on the
+executors: a bounded sample.  Scoring takes every passage, in one pass over all
 texts without a shuffle.  Labels, language, source and id are no inputs.
 """
 
@@ -151,22 +152,27 @@ class GatedAttention:
         return {"E": x.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "v": (t * g).T @ ds, "c": z.T @ d, "b": np.array([d.sum()])}
 
 
-def _encode(batches):
-    for part, data, offs in W.slices(batches):
-        x, poffs = passages(data, offs)
-        bags = [x[a:b].tobytes() for a, b in zip(poffs[:-1], poffs[1:])]
-        yield pa.RecordBatch.from_arrays([part.column(2), pa.array(bags, pa.binary())], names=["label", "bag"])
+def _encode(most: int):
+    def run(batches):
+        for part, data, offs in W.slices(batches):
+            x, poffs = passages(data, offs)
+            bags = [x[a:b][np.unique(np.linspace(0, b - a - 1, min(most, b - a)).astype(int))].tobytes() for a, b in zip(poffs[:-1], poffs[1:])]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(bags, pa.binary())], names=["doc_id", "label", "bag"])
+
+    return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> GatedAttention:
-    """Fit on at most ``max_train`` labelled documents outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_passages: int = 64) -> GatedAttention:
+    """Fit on at most ``max_train`` labelled documents outside the held-out fold,
+    and ``max_passages`` passages of each; of rows that share an id one counts."""
     ship(docs.sparkSession)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     marks = marks.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = marks.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(max_train)
     rows = (
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", "label").mapInArrow(_encode, "label int, bag binary").collect()
+        .select("doc_id", "text", "label").mapInArrow(_encode(max_passages), "doc_id bigint, label int, bag binary")
+        .groupBy("doc_id").agg(F.max("label").alias("label"), F.min("bag").alias("bag")).collect()
     )
     rows.sort(key=lambda r: (r.label, zlib.crc32(bytes(r.bag)), bytes(r.bag)))  # the order of tasks does not matter
     if not rows:
