@@ -3,9 +3,10 @@
 Every text is measured once (vectorised over slices).  Measures go into
 mergeable quantile sketches: counts in geometric bins, so merging is a sum and
 results do not depend on how the data are dealt.  Sketches are kept per
-(language, source); a group with too few documents takes the sketch of its
-language, then that of all, which are merges of the same counts.  A measure's
-threshold is its upper quartile plus a multiple of the interquartile range, at
+(language, source), language, and all, which are merges of the same counts.  A
+group's quartiles are drawn toward those of its language, and these toward those
+of all, with the weight of ``prior`` documents, so that groups of any size are
+treated alike.  A measure's threshold is its upper quartile plus a multiple of the interquartile range, at
 least a margin above the quartile; the thresholds are joined back and a text
 beyond any of them is rejected.
 """
@@ -119,7 +120,7 @@ def _quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
 def quality_rules(
     docs: DataFrame,
     spread: float = 3.0,
-    min_group: int = 100,
+    prior: float = 100.0,
     window: int = 5,
     min_words: int = 10,
     max_repeat: int = 20,
@@ -155,16 +156,12 @@ def quality_rules(
     bins = m.select("lang", "source", pairs.alias("p")).select("lang", "source", "p.*").groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
     bins = scratch.put(bins, "sketches")
     own = _quartiles(bins, ["lang", "source"])
-    lang = _quartiles(bins, ["lang"]).select(F.col("lang").alias("l"), F.col("measure").alias("lm"), F.struct("q1", "q3", "n_docs").alias("by_lang"))
-    every = _quartiles(bins, []).select(F.col("measure").alias("am"), F.struct("q1", "q3", "n_docs").alias("by_all"))
-    best = (
-        own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("lm")))
-        .join(every, F.col("measure") == F.col("am"))
-        .select(
-            "lang", "source", "measure",
-            F.when(F.col("n_docs") >= min_group, F.struct("q1", "q3", "n_docs"))
-            .when(F.col("by_lang.n_docs") >= min_group, F.col("by_lang")).otherwise(F.col("by_all")).alias("s"),
-        )
+    toward = lambda q, to: (F.col("n_docs") * F.col(q) + prior * F.col(to)) / (F.col("n_docs") + prior)
+    every = _quartiles(bins, []).select(F.col("measure").alias("am"), F.col("q1").alias("a1"), F.col("q3").alias("a3"))
+    lang = _quartiles(bins, ["lang"]).join(every, F.col("measure") == F.col("am"))
+    lang = lang.select(F.col("lang").alias("l"), F.col("measure").alias("lm"), toward("q1", "a1").alias("l1"), toward("q3", "a3").alias("l3"))
+    best = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("lm"))).select(
+        "lang", "source", "measure", F.struct(toward("q1", "l1").alias("q1"), toward("q3", "l3").alias("q3")).alias("s")
     )
     margin = F.element_at(F.create_map(*[x for k, v in MARGINS.items() for x in (F.lit(k), F.lit(v))]), F.col("measure"))
     limit = F.col("s.q3") + F.greatest(F.lit(spread) * (F.col("s.q3") - F.col("s.q1")), margin)
