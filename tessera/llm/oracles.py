@@ -21,6 +21,17 @@ WORD_DEDUP = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, '')
  kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS k FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) x ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
+# texts as hex, cut in pieces, so that taking a window does not go over the text
+SUFFIX_DEDUP = """WITH b AS (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS x FROM documents),
+ p AS (SELECT doc_id, j * 8192 AS base, substr(x, j * 16384 + 1, 16384 + 798) AS x FROM (SELECT doc_id, x, unnest(range(0, greatest(1, CAST(ceil(length(x) / 16384.0) AS BIGINT)))) AS j FROM b)),
+ win AS (SELECT doc_id, base + i AS i, md5(substr(x, 2 * i + 1, 800)) AS h FROM (SELECT doc_id, base, x, unnest(range(0, least(8192, length(x) // 2 - 399))) AS i FROM p)),
+ often AS (SELECT h FROM win GROUP BY 1 HAVING count(*) > 1),
+ hit AS (SELECT doc_id, i FROM win SEMI JOIN often USING (h)),
+ runs AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM hit)) GROUP BY doc_id, g),
+ cuts AS (SELECT doc_id, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1)
+ SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE array_to_string(list_transform(range(1, n_spans + 2), lambda k: substr(x, CASE WHEN k = 1 THEN 1 ELSE 2 * his[k - 1] + 1 END, CASE WHEN k > n_spans THEN length(x) ELSE 2 * los[k] - CASE WHEN k = 1 THEN 0 ELSE 2 * his[k - 1] END END)), '') END)) AS kept_sha256 FROM b LEFT JOIN cuts USING (doc_id)"""
+
 _SEATS = """{out}_b AS (SELECT *, CAST(greatest(0, floor(q) - m) AS BIGINT) AS lo FROM (SELECT *, CAST(ceil(CASE WHEN seats0 > 0 THEN q * cnt / (2 * seats0) ELSE 0 END) AS BIGINT) + 2 AS m FROM
  (SELECT *, CASE WHEN total_share > 0 THEN share / total_share * seats0 ELSE 0.0 END AS q FROM (SELECT *, sum(share) OVER ({part}) AS total_share, count(*) OVER ({part}) AS cnt FROM {src})))),
  {out}_k AS (SELECT *, share / (2 * k + 1) AS quot FROM (SELECT *, unnest(range(lo, CAST(floor(q) AS BIGINT) + m + 1)) AS k FROM {out}_b)),
@@ -54,6 +65,10 @@ def _quartiles(name: str, keys: str) -> str:
  FROM (SELECT {k}measure, bin, sum(n) AS n FROM bins GROUP BY ALL)) GROUP BY ALL)"""
 
 
+def _toward(of: str, to: str, q: str) -> str:
+    return f"({of}.n_docs * {of}.{q} + 100.0::DOUBLE * {to}.{q}) / ({of}.n_docs + 100.0::DOUBLE)"
+
+
 QUALITY_RULES = rf"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_W}) AS ws FROM documents),
  win AS (SELECT doc_id, i, array_to_string(ws[i : i + 4], ' ') AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
  rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS c FROM win) WHERE c > 1) GROUP BY 1),
@@ -65,7 +80,7 @@ QUALITY_RULES = rf"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '')
  long AS (SELECT doc_id, lang, source, unnest([{", ".join(f"'{k}'" for k in _MEASURES)}]) AS measure, unnest([{", ".join(_MEASURES)}]) AS v FROM r),
  bins AS (SELECT lang, source, measure, CAST(CASE WHEN v < 1e-4 THEN -1 ELSE ceil(ln(v / 1e-4::DOUBLE) / ln(1.02::DOUBLE)) END AS INT) AS bin, count(*) AS n FROM long GROUP BY ALL),
  {_quartiles("own", "lang, source")}, {_quartiles("by_lang", "lang")}, {_quartiles("by_all", "")},
- best AS (SELECT o.lang, o.source, measure, CASE WHEN o.n_docs >= 100 THEN o.q1 WHEN l.n_docs >= 100 THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN o.n_docs >= 100 THEN o.q3 WHEN l.n_docs >= 100 THEN l.q3 ELSE a.q3 END AS q3
- FROM own o JOIN by_lang l USING (measure) JOIN by_all a USING (measure) WHERE o.lang IS NOT DISTINCT FROM l.lang),
+ own_l AS (SELECT l.lang, l.measure, {_toward("l", "a", "q1")} AS q1, {_toward("l", "a", "q3")} AS q3 FROM by_lang l JOIN by_all a USING (measure)),
+ best AS (SELECT o.lang, o.source, measure, {_toward("o", "l", "q1")} AS q1, {_toward("o", "l", "q3")} AS q3 FROM own o JOIN own_l l USING (measure) WHERE o.lang IS NOT DISTINCT FROM l.lang),
  bad AS (SELECT DISTINCT doc_id FROM long JOIN best USING (measure) WHERE long.lang IS NOT DISTINCT FROM best.lang AND long.source IS NOT DISTINCT FROM best.source AND v > q3 + greatest(3.0::DOUBLE * (q3 - q1), {_MARGIN}))
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM r"""

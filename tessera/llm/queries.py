@@ -75,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": oracles.JACCARD,
+        "op3_suffix_dedup": oracles.SUFFIX_DEDUP,
         "op5_word_dedup": oracles.WORD_DEDUP,
         "op9_mix_sources": oracles.MIXING,
         "op10_quality_rules": oracles.QUALITY_RULES,
