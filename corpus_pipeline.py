@@ -25,19 +25,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), cut=0.7)
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """Rows told by id and text: ids may be null, or of several rows."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies
-    (five-word shingles, similarity 0.8 or more).  Rows without an id stay."""
-    groups = ngram_jaccard_join(docs, n=5, threshold=(80, 100))
-    first = groups.where("component_id = doc_id").select("doc_id")
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    (five-word shingles, similarity 0.8 or more).  Rows without an id, and rows
+    that share one, are documents like any other; of equal rows one stays."""
+    rows = _with_row(docs)
+    groups = ngram_jaccard_join(rows, n=5, threshold=(80, 100), id_col="_row").select("doc_id", "component_id").distinct().withColumnRenamed("doc_id", "_row")
+    ids = rows.select("_row", "doc_id").join(groups, "_row")
+    first = ids.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row")).select("_row")
+    return rows.join(first, "_row", "left_semi").dropDuplicates(["_row", "doc_id"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    rows = _with_row(docs)
+    found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").where("contaminated").select(F.col("doc_id").alias("_row"))
+    return rows.join(found, "_row", "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +70,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    scratch = Scratch(spark, "pipeline")
+    scratch = Scratch(spark, "pipeline")  # which ships the package to executors
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = scratch.put(stage(spark, docs, sf_dir), name)
