@@ -37,6 +37,18 @@ def test_stages(spark, sf_dir, tmp_path):
     assert docs.count() > 100
 
 
+def test_stages_on_rows_without_an_id_or_with_a_shared_one(spark, sf_dir):
+    long, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    leak = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    rows = [(None, long), (5, long + " end"), (5, other), (5, other), (None, "alone"), (None, None), (7, None), (8, leak + " " + other), (8, "clean " * 20), (None, leak)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in P.near_duplicates(spark, docs, sf_dir).collect())
+    # an empty text is like none other
+    assert kept == sorted([(5, long + " end"), (5, other), (0, "alone"), (0, ""), (7, ""), (8, leak + " " + other), (8, "clean " * 20), (0, leak)])
+    clean = [(r.doc_id, r.text) for r in P.decontamination(spark, docs, sf_dir).collect()]
+    assert len(clean) == 8 and (8, "clean " * 20) in clean and not any(t and leak in t for _, t in clean)
+
+
 def test_run_over_no_documents(spark, sf_dir, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
