@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import classify as cl, paths as pt, text as tx
 from ..operators import chunks as ch, config as cf, crop as cr, encoder as en, mux as mx, planes as pl, progress as pr, qc, resources as rs, summary as sm
 from ..session import shared_dir
-from ..sources import media
+from ..sources import logs, media
 from ..streaming import progress as st
 from . import bindings as b
 
@@ -674,3 +674,11 @@ def stream_state(spark, d):
     q.awaitTermination()
     seen = spark.read.option("recursiveFileLookup", "true").schema(st.OUT_SCHEMA).parquet(path)
     return seen.groupBy("file_id").agg(*[F.max(k).alias(k) for k in ("chunks_complete", "frames_complete", "bytes_complete")])
+
+
+@query("""SELECT event_id, concat(strftime(ts, '%Y-%m-%d %H:%M:%S'), ' [', CASE WHEN event_id % 3 = 0 THEN 'DEBUG' ELSE 'INFO' END, '] ', event_type) AS line, concat('/logs/encode_run_', strftime(ts, '%Y%m%d_%H%M%S'), '.log') AS path
+ FROM events WHERE event_id % 2 = 0 OR event_id % 3 <> 0""")
+def log_lines(spark, d):
+    r = b.progress(spark, d).select(c("ord").alias("event_id"), "ts", F.when(c("ord") % 3 == 0, logs.DEBUG).otherwise(logs.INFO).alias("level"), c("event_type").alias("message"))
+    both = logs.log_lines(r.where("event_id % 2 = 0"), verbose=True).unionByName(logs.log_lines(r.where("event_id % 2 = 1")))
+    return both.select("event_id", "line", logs.log_path(lit("/logs"), c("ts")).alias("path"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import classify as cl, paths as pt, text as tx
 from tessera.operators import chunks as ch, config as cf, crop as cr, encoder as en, mux as mx, planes as pl, qc, resources as rs, summary as sm
-from tessera.sources import media
+from tessera.sources import logs, media
 
 c = F.col
 
@@ -178,6 +178,14 @@ def test_sinks(spark, tmp_path):
     assert media.parse_resume(media.read_lines(spark, log)).count() == 2
 
 
+def test_log(spark, tmp_path):
+    r = spark.sql("select timestamp'2024-05-06 07:08:09' + make_interval(0, 0, 0, 0, 0, 0, id) as ts, if(id % 2 = 0, 'INFO', 'DEBUG') as level, concat('m', id) as message from range(4)")
+    path = str(tmp_path / "log")
+    logs.write_log(r.repartition(3), path)
+    logs.write_log(r, path, verbose=True)
+    assert sorted(x.line for x in media.read_lines(spark, path).collect()) == sorted([f"2024-05-06 07:08:{9 + i:02d} [{'INFO' if i % 2 == 0 else 'DEBUG'}] m{i}" for i in (0, 2, 0, 1, 2, 3)])
+
+
 def test_probe_json(spark):
     docs = media.parse_probe(spark.createDataFrame([(1, '{"streams":[{"codec_type":"audio","channels":0},{"codec_type":"audio","channels":6,"codec_name":"aac"},{"codec_type":"video","width":10,"height":20}]}'), (2, "{}")], "file_id long, json string"))
     v = {r.file_id: r for r in media.video_properties(docs).collect()}
