@@ -252,21 +252,23 @@ class BlockLabeller:
     def _sig(x):
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def _lstm(self, x, mask, d):
-        """x: (T, B, first), time-ordered for this direction."""
+    def _lstm(self, x, mask, d, learn=True):
+        """x: (T, B, first), time-ordered for this direction.  Cells and gates
+        are kept for learning alone: a page may have very many blocks."""
         p, h = self.p, self.h
         T, B, _ = x.shape
-        hs, cs, gates = np.zeros((T + 1, B, h), np.float32), np.zeros((T + 1, B, h), np.float32), np.zeros((T, B, 4 * h), np.float32)
-        xw = x @ p[f"W{d}"] + p[f"B{d}"]
+        hs, cell = np.zeros((T + 1, B, h), np.float32), np.zeros((B, h), np.float32)
+        cs, gates = (np.zeros((T + 1, B, h), np.float32), np.zeros((T, B, 4 * h), np.float32)) if learn else (None, None)
         for t in range(T):
-            a = xw[t] + hs[t] @ p[f"U{d}"]
+            a = x[t] @ p[f"W{d}"] + p[f"B{d}"] + hs[t] @ p[f"U{d}"]
             a[:, : 3 * h] = self._sig(a[:, : 3 * h])
             a[:, 3 * h :] = np.tanh(a[:, 3 * h :])
-            c = a[:, h : 2 * h] * cs[t] + a[:, :h] * a[:, 3 * h :]
+            c = a[:, h : 2 * h] * cell + a[:, :h] * a[:, 3 * h :]
             m = mask[t][:, None]
-            cs[t + 1] = np.where(m, c, cs[t])
+            cell = np.where(m, c, cell)
             hs[t + 1] = np.where(m, a[:, 2 * h : 3 * h] * np.tanh(c), hs[t])
-            gates[t] = a
+            if learn:
+                cs[t + 1], gates[t] = cell, a
         return hs, cs, gates
 
     def _lstm_back(self, x, mask, d, cache, dout):
@@ -301,9 +303,9 @@ class BlockLabeller:
         mask = np.arange(T)[:, None] < lens
         return x, mask, lens
 
-    def _outputs(self, x, mask):
-        f = self._lstm(x, mask, "f")
-        r = self._lstm(x[::-1], mask[::-1], "r")
+    def _outputs(self, x, mask, learn=True):
+        f = self._lstm(x, mask, "f", learn)
+        r = self._lstm(x[::-1], mask[::-1], "r", learn)
         both = np.concatenate([f[0][1:], r[0][1:][::-1], x], 2)
         return f, r, both, self._sig(both @ self.p["o"] + self.p["c"][0])
 
@@ -317,7 +319,7 @@ class BlockLabeller:
             while b < len(order) and (b - a + 1) * len(pages[order[b]][1]) <= 16384:
                 b += 1
             x, mask, lens = self._inputs([pages[i] for i in order[a:b]])
-            y = self._outputs(x, mask)[-1]
+            y = self._outputs(x, mask, False)[-1]
             for k, i in enumerate(order[a:b]):
                 out[i] = y[: lens[k], k]
             a = b
