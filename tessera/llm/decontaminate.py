@@ -378,14 +378,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, contaminated, n_items, item_ids, coverage), one row per input row.
 
     Null, empty and wordless texts are clean, as is any text when the benchmark
-    is empty; items that are null or wordless are left out.  Rows with a null id
-    are not searched and count as clean.  Repeated ids name one document.
-    Texts are searched whole; other columns are ignored.
+    is empty; items that are null or wordless are left out.  Rows are told by id
+    and text, so those with a null id, or one that others have, are judged for
+    themselves.  Texts are searched whole; other columns are ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession, "leaks")
-    found = leaks(docs, benchmark, id_col=id_col, text_col=text_col, scratch=scratch, **options)
-    found = scratch.put(found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage")), "found")
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id")).join(found, "doc_id", "left").select(
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    found = leaks(rows, benchmark, id_col="row", scratch=scratch, **options).withColumnRenamed("doc_id", "row")
+    found = scratch.put(found.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage")), "found")
+    return rows.select("doc_id", "row").join(found, "row", "left").select(
         "doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
     )

@@ -209,6 +209,13 @@ def test_benchmark_beyond_a_block(spark, monkeypatch, limit, value):
     assert got == {**{i: [i] for i in range(11)}, 50: [1, 10], 51: []}
 
 
+def test_leaks_in_rows_without_an_id_or_with_a_shared_one(spark):
+    item = " ".join(f"item{i}" for i in range(30))
+    rows = [(None, "so " + item), (None, "clean"), (4, item + " too"), (4, "clean as well"), (4, None)]
+    got = D.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.contaminated) for r in got) == [(0, False), (0, True), (4, False), (4, False), (4, True)]
+
+
 def test_paraphrased_leak(spark):
     bench = spark.createDataFrame([(1, " ".join(f"item{i}" for i in range(40))), (2, None), (3, " ")], "item_id long, text string")
     para = [f"item{i}" for i in range(40) if i % 6]
