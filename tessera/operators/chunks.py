@@ -103,6 +103,18 @@ def resume_totals(done: DataFrame) -> DataFrame:
     return done.groupBy("file_id").agg(F.sum("size").alias("bytes_done"), F.sum("frames").alias("frames_done"), F.count("*").alias("n_lines"), F.count_distinct("idx").alias("n_chunks"))
 
 
+def plan_merges(videos: DataFrame, seconds: Column, batch: int = MERGE_BATCH) -> DataFrame:
+    """What ``merge_batches`` gives for all chunks of planned videos, from each
+    video's own row: no shuffle."""
+    n = F.size(boundaries(F.col("total_frames"), F.col("fps_num"), F.col("fps_den"), seconds)).cast("bigint")
+    few = F.greatest(F.col("n"), F.lit(1)) <= batch
+    cut = videos.where("total_frames > 0").select("file_id", n.alias("n"))
+    each = cut.select("file_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(few, F.lit(0)).otherwise(F.ceil(F.col("n") / batch) - 1))).alias("batch"))
+    first, last = F.col("batch") * batch, F.when(few, F.col("n")).otherwise(F.least(F.col("n"), (F.col("batch") + 1) * batch)) - 1
+    lines = F.transform(F.sequence(first, last), lambda i: F.concat(F.lit("file '"), chunk_file(i), F.lit("'")))
+    return each.select("file_id", "batch", (last - first + 1).alias("n_chunks"), first.alias("first_idx"), last.alias("last_idx"), F.array_join(lines, "\n").alias("list_text"))
+
+
 def merge_batches(chunks: DataFrame, batch: int = MERGE_BATCH) -> DataFrame:
     """Per file and merge batch: its chunks and the list file's text, in order."""
     k = Window.partitionBy("file_id")

@@ -464,12 +464,20 @@ def parse_time(spark, d):
 _SMALL = f"WITH {b.VIDEO}, {b.chunks_sql('0.25::DOUBLE')}"
 
 
-@query(f"""{_SMALL}, n AS (SELECT *, count(*) OVER (PARTITION BY file_id) AS n FROM chunks), bt AS (SELECT *, CASE WHEN n > 500 THEN idx // 500 ELSE 0 END AS batch FROM n)
- SELECT file_id, batch, count(*) AS n_chunks, min(idx) AS first_idx, max(idx) AS last_idx, string_agg(printf('file ''encode/%04d.ivf''', idx), chr(10) ORDER BY idx) AS list_text FROM bt GROUP BY 1, 2""")
+_MERGES = f"""{_SMALL}, n AS (SELECT *, count(*) OVER (PARTITION BY file_id) AS n FROM chunks), bt AS (SELECT *, CASE WHEN n > 500 THEN idx // 500 ELSE 0 END AS batch FROM n)
+ SELECT file_id, batch, count(*) AS n_chunks, min(idx) AS first_idx, max(idx) AS last_idx, string_agg(printf('file ''encode/%04d.ivf''', idx), chr(10) ORDER BY idx) AS list_text FROM bt GROUP BY 1, 2"""
+
+
+@query(_MERGES)
 def merge_batches(spark, d):
     return ch.merge_batches(ch.plan_chunks(b.video(spark, d), lit(0.25)))
 
 
+@query(_MERGES)
+def merge_plan(spark, d):
+    return ch.plan_merges(b.video(spark, d), lit(0.25))
+
+
 @query(f"{_CH} SELECT file_id, idx, start_frame, end_frame, CAST(idx % 2 AS INT) AS part FROM chunks")
 def ordered_concat(spark, d):
     k = _chunks(spark, d).withColumn("ord", F.struct("file_id", "idx"))
