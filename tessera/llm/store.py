@@ -43,12 +43,12 @@ class _freed:
 
 
 class Scratch:
-    """Named intermediate tables of one operator call.  ``lasting`` ones stay
-    when the application ends."""
+    """Named intermediate tables of one operator call.  Those of a given ``root``
+    stay when the application ends."""
 
-    def __init__(self, spark: SparkSession, label: str, lasting: bool = False):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, label: str, root: str | None = None):
+        self.spark, lasting = spark, root is not None
+        self.root = root or f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         ship(spark)
         if not lasting:
             fs, path = self._at(self.root)

@@ -521,9 +521,27 @@ class SuffixFamily:
 
     Tables lie under ``scratch``; texts are read again from the DataFrames that
     were added.  ``bits`` fixes the number of hash ranges (2**bits) for good:
-    give it for a family that is to grow.
+    give it for a family that is to grow.  With a scratch of a root of its own
+    the tables stay, and ``reopen`` goes on with them.
     """
 
+    @classmethod
+    def reopen(cls, spark: SparkSession, root: str, seen: list[DataFrame], length: int, bits: int, **options) -> SuffixFamily:
+        """The family whose tables lie under ``root``; ``seen`` are the
+        DataFrames it was given so far, in order."""
+        family = cls(spark, length, bits, scratch=Scratch(spark, "suffixes", root), **options)
+        for call, docs in enumerate(seen):
+            family.docs.append(docs)
+            for kind in ("keys", "grams", "cuts"):
+                family.tables[kind].append(spark.read.parquet(f"{root}/{kind}-{call}"))
+            family._scanned(spark.read.parquet(f"{root}/scan-{call}"))
+        return family
+
+    def _scanned(self, found: DataFrame) -> None:
+        if self.keep:
+            self.tables["levels"].append(found.where("level_key is not null").select(F.col("level_key").alias("key"), F.col("level_ids").alias("ids"), F.col("level_body").alias("body")))
+        self.tables["spans"].append(found.where("spans is not null").select("k", "spans"))
+
     def __init__(self, spark: SparkSession, length: int = 400, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, keep: bool = True, bytes_kept: bool = False):
         self.spark, self.length, self.bits, self.id_col, self.text_col, self.keep, self.bytes_kept = spark, length, bits, id_col, text_col, keep, bytes_kept
         self.scratch = scratch or Scratch(spark, "suffixes")
@@ -571,9 +589,7 @@ class SuffixFamily:
         for t in self.tables["levels"]:
             new = new.unionByName(t.withColumn("old", F.lit(True)))
         found = self.scratch.put(new.groupBy("key").applyInArrow(_typed(_scan(length, bits, self.keep)), _SPANS), f"scan-{call}")
-        if self.keep:
-            self.tables["levels"].append(found.where("level_key is not null").select(F.col("level_key").alias("key"), F.col("level_ids").alias("ids"), F.col("level_body").alias("body")))
-        self.tables["spans"].append(found.where("spans is not null").select("k", "spans"))
+        self._scanned(found)
         touched = self.tables["spans"][-1].select("k").distinct()
         mine = self._all("spans").join(touched, "k", "left_semi") if call else self._all("spans")
         mine = mine.groupBy("k").agg(F.collect_list("spans").alias("spans"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.llm import jaccard as J
 from tessera.llm import suffix_dedup as S
 from tessera.llm.suffix_dedup import suffix_dedup
+from tessera.llm.store import Scratch
 from tessera.llm.word_dedup import word_dedup
 from tessera.llm import words as W
 
@@ -199,7 +200,7 @@ def test_suffix_dedup_of_overlaps_and_edges(spark, monkeypatch, seed, hot):
 
 
 @pytest.mark.parametrize("hot", [4096, 3])
-def test_a_later_batch_meets_the_levels_of_earlier_ones(spark, monkeypatch, hot):
+def test_a_later_batch_meets_the_levels_of_earlier_ones(spark, monkeypatch, tmp_path, hot):
     monkeypatch.setattr(S, "HOT", hot)
     rows = overlapping(5, 60)
     rows += [(200, rows[3][1]), (201, "unlike " * 3 + "the rest")]
@@ -208,6 +209,12 @@ def test_a_later_batch_meets_the_levels_of_earlier_ones(spark, monkeypatch, hot)
         family.add(spark.createDataFrame(rows[a:b], "doc_id long, text string"))
         got = {x.doc_id: tuple(x)[1:5] for x in family.result().collect()}
         assert got == brute.suffix_dedup(rows[:b], 40)
+    # another object goes on with the stored tables
+    root, half = f"file://{tmp_path}/family", [spark.createDataFrame(rows[a:b], "doc_id long, text string") for a, b in ((0, 45), (45, len(rows)))]
+    S.SuffixFamily(spark, 40, bits=4, scratch=Scratch(spark, "", root)).add(half[0])
+    again = S.SuffixFamily.reopen(spark, root, half[:1], 40, 4)
+    again.add(half[1])
+    assert {x.doc_id: tuple(x)[1:5] for x in again.result().collect()} == got
     # without the stored levels of the first call, what only they hold is missed
     less = S.SuffixFamily(spark, 40, bits=4)
     less.add(spark.createDataFrame(rows[:45], "doc_id long, text string"))

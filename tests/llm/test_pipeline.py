@@ -3,7 +3,8 @@ import oracle
 import pytest
 
 import corpus_pipeline as P
-from tessera.llm import queries as Q
+from tessera.llm import pii, queries as Q
+from tessera.llm.quality_model import quality_model
 
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
@@ -34,6 +35,19 @@ def test_stages(spark, sf_dir, tmp_path):
             assert ids == {c for _, c in groups.values()}
         if name in ("personal_data", "mixing"):
             assert ids == set(was)
+        if name == "quality":
+            scores = quality_model(before, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+            assert ids == {r.doc_id for r in scores.where("score >= 0.7").collect()}
+        if name == "decontamination":
+            items = [brute.words((r.text or "").lower()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+            for d, t in was.items():
+                w = brute.words((t or "").lower())
+                whole = any(len(i) <= len(w) and any(w[a : a + len(i)] == i for a in range(len(w) - len(i) + 1) if w[a] == i[0]) for i in items if i)
+                none = all(len(set(i) & set(w)) < 0.3 * len(set(i)) for i in items if i)
+                assert not (whole and d in ids) and not (none and d not in ids), d
+        if name == "personal_data":
+            said = brute.surrogates([was[d] for d in sorted(was)], pii, b"tessera surrogates")
+            assert {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()} == dict(zip(sorted(was), said.values()))
     assert docs.count() > 100
 
 
