@@ -55,7 +55,7 @@ MIXING = f"""WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(c
  SELECT doc_id, size, source, source_size, target, CAST(words // greatest(shard_size, 1) * size + least(size, greatest(0, words - words // greatest(shard_size, 1) * shard_size - start)) AS BIGINT) AS taken FROM e"""
 
 _MEASURES = ("symbols_per_word", "dup_lines", "repeat_words", "chars_per_word", "upper_share")
-_MARGIN = "CASE measure WHEN 'symbols_per_word' THEN 0.15::DOUBLE WHEN 'dup_lines' THEN 0.30::DOUBLE WHEN 'repeat_words' THEN 0.10::DOUBLE WHEN 'chars_per_word' THEN 4.0::DOUBLE ELSE 0.30::DOUBLE END"
+_MARGIN = "CASE measure WHEN 'symbols_per_word' THEN 0.15::DOUBLE WHEN 'dup_lines' THEN 0.35::DOUBLE WHEN 'repeat_words' THEN 0.15::DOUBLE WHEN 'chars_per_word' THEN 1.0::DOUBLE ELSE 0.10::DOUBLE END"
 
 
 def _quartiles(name: str, keys: str) -> str:
@@ -82,5 +82,5 @@ QUALITY_RULES = rf"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '')
  {_quartiles("own", "lang, source")}, {_quartiles("by_lang", "lang")}, {_quartiles("by_all", "")},
  own_l AS (SELECT l.lang, l.measure, {_toward("l", "a", "q1")} AS q1, {_toward("l", "a", "q3")} AS q3 FROM by_lang l JOIN by_all a USING (measure)),
  best AS (SELECT o.lang, o.source, measure, {_toward("o", "l", "q1")} AS q1, {_toward("o", "l", "q3")} AS q3 FROM own o JOIN own_l l USING (measure) WHERE o.lang IS NOT DISTINCT FROM l.lang),
- bad AS (SELECT DISTINCT doc_id FROM long JOIN best USING (measure) WHERE long.lang IS NOT DISTINCT FROM best.lang AND long.source IS NOT DISTINCT FROM best.source AND v > q3 + greatest(3.0::DOUBLE * (q3 - q1), {_MARGIN}))
+ bad AS (SELECT DISTINCT doc_id FROM long JOIN best USING (measure) WHERE long.lang IS NOT DISTINCT FROM best.lang AND long.source IS NOT DISTINCT FROM best.source AND v > q3 + greatest(4.0::DOUBLE * (q3 - q1), {_MARGIN}))
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM r"""

@@ -24,7 +24,7 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
 #: measure -> (least margin above the upper quartile)
-MARGINS = {"symbols_per_word": 0.15, "dup_lines": 0.30, "repeat_words": 0.10, "chars_per_word": 4.0, "upper_share": 0.30}
+MARGINS = {"symbols_per_word": 0.15, "dup_lines": 0.35, "repeat_words": 0.15, "chars_per_word": 1.0, "upper_share": 0.10}
 #: relative width of a sketch's bins and the smallest value told from 0
 GAMMA, LEAST = 1.02, 1e-4
 
@@ -119,7 +119,7 @@ def _quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
 
 def quality_rules(
     docs: DataFrame,
-    spread: float = 3.0,
+    spread: float = 4.0,
     prior: float = 100.0,
     window: int = 5,
     min_words: int = 10,
