@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: lengths of the n-grams, and buckets they are hashed to
-SIZES, BUCKETS = (3,), 1 << 12
+SIZES, BUCKETS = (2, 3, 4), 1 << 13
 
 #: fixed values: the rules of the standing query, verdict and prefix
 RULES = (
@@ -148,7 +148,7 @@ def _hashed(spark: SparkSession, labelled, sizes: tuple[int, ...], buckets: int,
     return np.array([r.y for r in rows], float), np.repeat(np.arange(len(rows)), size), np.array([b for r in rows for b in r.g], np.int64)
 
 
-def fit(y: np.ndarray, row: np.ndarray, bucket: np.ndarray, buckets: int, steps: int = 400, rate: float = 4.0, decay: float = 1e-3, momentum: float = 0.9) -> tuple[np.ndarray, float]:
+def fit(y: np.ndarray, row: np.ndarray, bucket: np.ndarray, buckets: int, steps: int = 1000, rate: float = 4.0, decay: float = 1e-4, momentum: float = 0.9) -> tuple[np.ndarray, float]:
     """Weights and bias of least mean log loss plus ``decay`` / 2 of the squared
     weights; every row's entries weigh one over the root of their number.  Full
     gradient steps with momentum, on the driver: the rows are few."""

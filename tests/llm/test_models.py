@@ -117,7 +117,7 @@ def test_url_model_on_held_out_rows(spark):
 
 def test_url_weights_are_those_of_plain_newton_steps(spark):
     y, row, bucket = U._hashed(spark, U.LABELLED, (3,), 256, 10**6)
-    w, bias = U.fit(y, row, bucket, 256)
+    w, bias = U.fit(y, row, bucket, 256, decay=1e-3)
     x = np.zeros((len(y), 257))
     np.add.at(x, (row, bucket), 1)
     x[:, :256] /= np.sqrt(np.bincount(row))[:, None]
@@ -134,7 +134,7 @@ def test_url_weights_are_those_of_plain_newton_steps(spark):
     for i, url in pages:  # scored apart, one n-gram at a time
         host, path = (re.match(r".*?://([^/?#]*)([^?#]*)", url).groups() if url else ("", ""))
         text = f"^{host}|{path}$"
-        pieces = [text[k : k + 3] for k in range(max(1, len(text) - 2))]
+        pieces = [text[k : k + n] for n in U.SIZES for k in range(max(1, len(text) - n + 1))]
         found = {r.b for r in spark.createDataFrame([(p,) for p in pieces], "g string").select(F.pmod(F.xxhash64("g"), F.lit(U.BUCKETS)).alias("b")).collect()}
         assert abs(at[i] - 1 / (1 + np.exp(-sum(w[b] for b in found) / len(found) ** 0.5 - bias))) < 1e-9
 
