@@ -5,6 +5,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tessera.plans import bindings
+from tessera.plans.queries import QUERIES
 from tessera.streaming import progress as st, reporters as rp
 
 
@@ -72,3 +73,25 @@ def test_windows_match_batch(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     want = p.groupBy(F.window("ts", "5 minutes"), "file_id").agg(F.sum("frames").alias("frames"), F.sum("size").alias("bytes"))
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_complete_windows_are_kept_on_disk(spark, sf_dir, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    p = _feed(spark, sf_dir, src)
+    before = {k: spark.conf.get(k, None) for k in st.DISK_STATE}
+    windows = st.throughput(st.read_events(spark, src))
+    q = st.keep_complete(windows, out, str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    assert len(q.recentProgress) >= 3 and any(k.startswith("rocksdb") for k in q.lastProgress["stateOperators"][0]["customMetrics"])
+    assert {k: spark.conf.get(k, None) for k in st.DISK_STATE} == before
+    want = p.groupBy(F.window("ts", "5 minutes"), "file_id").agg(F.sum("frames").alias("frames"), F.sum("size").alias("bytes"))
+    assert sorted(map(tuple, spark.read.schema(windows.schema).parquet(out).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_window_query_holds_no_rows_on_the_driver(spark, sf_dir, tmp_path):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert QUERIES["stream_windows"](spark, sf_dir).count() > 0
+    assert {t.name for t in spark.catalog.listTables()} == before  # a memory sink leaves a table there
+    none = str(tmp_path / "none")
+    spark.read.parquet(f"{sf_dir}/events.parquet").where("false").write.parquet(f"{none}/events.parquet")
+    assert QUERIES["stream_windows"](spark, none).count() == 0
